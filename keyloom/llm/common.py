@@ -70,3 +70,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, y) of at most ``limit`` labelled documents outside fold 0, chosen by a hash of the id.
+
+    The ids chosen are a table of at most ``limit`` rows, so it is broadcast.  Rows with a null key or label are left out.
+    """
+    h = F.xxhash64(F.lit("labelled"), F.col(key))
+    ids = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), h.alias("h"))
+    n = ids.count()
+    if n > limit:
+        u = F.shiftrightunsigned(F.col("h"), 11) / float(1 << 53)
+        ids = ids.where(u <= 1.2 * limit / n).orderBy("h", "k", "y").limit(limit)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(ids), "k")
+    return materialize(rows.select("text", "y"), "labelled")

@@ -13,8 +13,6 @@ empty results.  Only id and text columns are read, so other columns cannot clash
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,4 +121,3 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
-assert math.log2(SCALE) % 1 == 0  # the threshold is exact

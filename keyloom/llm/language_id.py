@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 600
 SAMPLE_CHARS = 1500
-DICT_BYTES = 96 << 10
+DICT_BYTES = 128 << 10
 BLOCK_CHARS = 2000
-LEVEL = 3
+LEVEL = 6
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprint, language_id, mixing, url_filter
+from . import bpe_codec, fingerprint, language_id, mixing, quality, toxicity, url_filter
 from .common import fold, prepare, table
 
 URL_RULES = [
@@ -34,6 +34,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("pattern")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), model.udf()(F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -55,12 +63,22 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), model.udf()(F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_toxicity": op2_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_language_id": op5_language_id,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
