@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprint, language_id, mixing, quality, toxicity, url_filter
+from . import bpe_codec, cap_dedup, fingerprint, jaccard_join, language_id, mixing, quality, toxicity, url_filter
 from .common import fold, prepare, table
 
 URL_RULES = [
@@ -58,6 +58,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.margin", "p.rejected")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return cap_dedup.dedup_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
@@ -77,7 +87,9 @@ QUERIES = {
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_language_id": op5_language_id,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
