@@ -124,20 +124,24 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     return df.select(key, ids).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """encode() and decode() of every row as digests: key, n_tokens, ids_sha256, decoded_sha256."""
+def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """encode() and decode() of every row as digests: key, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
     spec = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _table(spec.value)
         for b in batches:
-            counts, ids, texts = [], [], []
+            counts, ids, texts, numbers = [], [], [], []
             for x in b.column(1).to_pylist():
                 found = words.entries(x)
                 counts.append(sum([len(e[0]) for e in found]))
+                if with_ids:
+                    numbers.append([i for e in found for i in e[0]])
                 ids.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
                 texts.append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.record_batch([*cols, pa.array(numbers, pa.list_(pa.int32()))] if with_ids else cols, names=[*names, "ids"] if with_ids else names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)

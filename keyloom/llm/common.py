@@ -64,7 +64,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -87,3 +87,19 @@ def mix_sources(
     return placed.select(
         F.col("k").alias(key), F.col("src").alias(source), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"), "epochs", "cut", F.col("th").alias("text_hash")
     )
+
+
+def mixed_copies(docs: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their own columns; the copy at a source's cut ends after its last token.
+
+    ``mix`` is mix_sources() of the same docs.  Rows equal in key and text share one place in the mix.
+    """
+    part = mix.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("epochs").alias("__e"), F.col("cut").alias("__c"), F.col("size").alias("__n"))
+    part = part.where(F.col("__e") * F.col("__n") + F.col("__c") > 0).dropDuplicates(["__k", "__h"])
+    rows = docs.withColumn("__t", F.xxhash64(text)).join(part, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__h")))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__e") + (F.col("__c") > 0).cast("long"))))
+    # Pieces of one token each, with the separators before it.
+    pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    last = (F.col("__copy") > F.col("__e")) & (F.col("__c") < F.col("__n"))
+    rows = rows.withColumn(text, F.when(last, F.concat_ws("", F.slice(pieces, F.lit(1), F.col("__c").cast("int")))).otherwise(F.col(text)))
+    return rows.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, cap_dedup, fingerprint, jaccard_join, language_id, mixing, quality, toxicity, url_filter
+from . import bpe_codec, cap_dedup, class_lm, fingerprint, jaccard_join, language_id, mixing, quality, toxicity, url_filter
 from .common import fold, prepare, table
 
 URL_RULES = [
@@ -63,6 +63,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = class_lm.score_documents(table(spark, sf_dir, "documents"), fold("doc_id") != 1)
+    return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return cap_dedup.dedup_vectors(table(spark, sf_dir, "embeddings"))
@@ -88,6 +94,7 @@ QUERIES = {
     "op4_mixing_sources": op4_mixing_sources,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
