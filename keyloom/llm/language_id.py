@@ -29,6 +29,8 @@ SAMPLE_CHARS = 1500
 DICT_BYTES = 128 << 10
 BLOCK_CHARS = 2000
 LEVEL = 6
+#: What a short text follows when its bytes alone don't tell the languages apart.
+LEAD_BYTES = 512
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
 
@@ -78,13 +80,16 @@ class LanguageModel:
         parts = [b.encode("utf-8", "replace") for b in blocks(normalise(text))]
         sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in self._compressors()]
         best, lang = min(sizes)
-        if len(parts) == 1 and sum(s == best for s, _ in sizes) > 1:
-            # Whole bytes can't tell short texts apart: compress each word by itself too.
-            words = [b" %b " % w for w in parts[0].split()]
-            sizes = [(s + sum(len(c.compress(w)) for w in words), k) for (s, k), (_, c) in zip(sizes, self._compressors(), strict=True) if s == best]
+        if len(parts) == 1 and sum(s <= best * (1 + self.min_margin) for s, _ in sizes) > 1:
+            # zstandard stores a short block as it is when little is gained.  Behind a passage of the dictionary, which costs
+            # a few bytes, the block is compressed after all; every ending of the text adds its bytes to tell more.
+            whole = parts[0]
+            starts = range(len(whole)) if len(whole) <= 256 else [0, *(i + 1 for i, c in enumerate(whole) if c == 32)]
+            lead = {k: self.dictionaries[k][:LEAD_BYTES] + b" " for _, k in sizes}
+            sizes = [(sum(len(c.compress(lead[k] + whole[i:])) - len(c.compress(lead[k])) for i in starts), k) for k, c in self._compressors()]
             best, lang = min(sizes)
         second = min((s for s, k in sizes if k != lang), default=None)
-        margin = 1.0 if second is None else (second - best) / second
+        margin = 1.0 if second is None else (second - best) / max(1, second)
         # A byte saved is eight bits of evidence; half of it counts, since blocks are not independent.
         score = 1.0 / sum(2.0 ** min(0.0, 4.0 * (best - s)) for s, _ in sizes)
         return lang, score, margin, margin < self.min_margin
