@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Documents of a source that one bucket holds on average.
-BUCKET_ROWS = 50_000
+#: A source of n documents has about sqrt(n) buckets of sqrt(n) documents: neither they nor their totals pile up in a task.
 #: Source tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -69,7 +68,7 @@ def mix_sources(
     per = [(r.src, int(r.s or 0), r.n) for r in sized.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).toLocalIterator()]
     goal = {src: (size, target) for src, size, target in targets([(s, z) for s, z, _ in per], weights, max_epochs)}
     table = spark.createDataFrame(
-        [(i, s, z, goal[s][1], max(1, math.ceil(n / BUCKET_ROWS))) for i, (s, z, n) in enumerate(per)], "sid long, src2 string, source_size long, target double, buckets long"
+        [(i, s, z, goal[s][1], math.isqrt(n) + 1) for i, (s, z, n) in enumerate(per)], "sid long, src2 string, source_size long, target double, buckets long"
     )
     if len(per) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
