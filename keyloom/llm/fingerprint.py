@@ -13,6 +13,8 @@ empty results.  Only id and text columns are read, so other columns cannot clash
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,17 @@ def merge(kept: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(kept)))
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
+def _literal(values: list, kind: str) -> Column:
+    """An array of constants as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values, default=str)), F.lit(f"array<{kind}>"))
+
+
+def _range_of(value: Column, bounds: list, kind: str) -> Column:
     """How many bounds lie below value, by binary search; 0 for null."""
     if not bounds:
         return F.lit(0)
     powers = [1 << i for i in reversed(range(max(1, len(bounds).bit_length())))]
-    q = F.lit(bounds)
+    q = _literal(bounds, kind)
     return F.aggregate(F.lit(powers), F.lit(0), lambda at, p: F.when(F.get(q, at + p - 1) < value, at + p).otherwise(at))
 
 
@@ -80,18 +87,20 @@ def with_next(df: DataFrame, key: str, carried: list[str], tie: str, ranges: int
     """
     spark = df.sparkSession
     n = ranges or RANGES_PER_PARTITION * shuffle_partitions(spark)
+    kind = df.schema[key].dataType.simpleString()
     found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first().q
     bounds = sorted(set(found or []))
-    at = _range_of(F.col(key), bounds)
+    at = _range_of(F.col(key), bounds, kind)
     heads = sorted(((r["at"], r["head"]) for r in df.groupBy(at.alias("at")).agg(F.max(key).alias("head")).collect()), reverse=True)
-    kind = df.schema[key].dataType.simpleString()
-    place = spark.createDataFrame([(a, h, heads[i - 1][0]) for i, (a, h) in enumerate(heads)], f"__at int, __head {kind}, __before int")
-    rows = df.withColumn("__at", at).join(F.broadcast(place), "__at")
-    again = F.when(F.col(key).eqNullSafe(F.col("__head")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    head, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+    for i, (a, h) in enumerate(heads):
+        head[a], before[a] = h, heads[i - 1][0]
+    rows = df.withColumn("__at", at)
+    again = F.when(F.col(key).eqNullSafe(F.get(_literal(head, kind), F.col("__at"))), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     rows = rows.withColumn("__again", F.explode(again))
-    rows = rows.withColumn("__at", F.when(F.col("__again"), F.col("__before")).otherwise(F.col("__at")))
+    rows = rows.withColumn("__at", F.when(F.col("__again"), F.get(_literal(before, "int"), F.col("__at"))).otherwise(F.col("__at")))
     w = Window.partitionBy("__at").orderBy("__again", F.col(key).desc_nulls_last(), tie)
-    return rows.withColumn("next", F.lead(F.struct(*carried)).over(w)).where(~F.col("__again")).drop("__at", "__head", "__before", "__again")
+    return rows.withColumn("next", F.lead(F.struct(*carried)).over(w)).where(~F.col("__again")).drop("__at", "__again")
 
 
 def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, scale: int = SCALE) -> DataFrame:
