@@ -217,7 +217,7 @@ class ClassModel:
 
     def score(self, codes: np.ndarray) -> tuple[int, int, float, float]:
         """Tokens, known tokens, base score and model score of one text's codes."""
-        c = np.where(codes < 0, self.top_counts[np.minimum(-1 - codes, len(self.top_counts) - 1)] if len(self.top_counts) else 0, codes)
+        c = np.where(codes < 0, self.top_counts[np.clip(-1 - codes, 0, len(self.top_counts) - 1)] if len(self.top_counts) else 0, codes)
         c = np.append(c, self.ends).astype(float)
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.vocabulary + 1))).sum()
         k = self.cls[np.append(_items(codes), _END)]
