@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import materialize
+from .common import materialize, shuffle_partitions
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -200,7 +200,7 @@ def _candidates(lists: DataFrame, percent: int, spanning: bool) -> DataFrame:
         if held is not None and (f := of_list(held)):
             yield pa.record_batch([f[0], f[1]], names=["a", "b"])
 
-    placed = lists.repartition("t", "bi", "bj").sortWithinPartitions("t", "bi", "bj")
+    placed = lists.repartition(shuffle_partitions(lists.sparkSession), "t", "bi", "bj").sortWithinPartitions("t", "bi", "bj")
     found = placed.mapInArrow(run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
