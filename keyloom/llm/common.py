@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Rows of text that go to a Python worker at once; keeps a batch of ordinary documents at a few MB.
 ARROW_ROWS = 1000
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
@@ -21,23 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """For operators with Python functions: sends this package to the workers, and makes Arrow batches small.
 
     Texts are long rows: the default of 10,000 rows a batch may be gigabytes.
     """
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="keyloom-code-")), "keyloom.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(target)
-        _shipped.add(sc.applicationId)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
