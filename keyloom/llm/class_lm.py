@@ -92,18 +92,19 @@ def _requests(chunks: DataFrame) -> DataFrame:
     return chunks.where("kind = 0").select("chunk", "tokens", "counts").mapInArrow(run, "chunk long, i int, h long, n long")
 
 
-def _coded(chunks: DataFrame, requests: DataFrame, counts: DataFrame, top: np.ndarray) -> DataFrame:
+def _coded(chunks: DataFrame, requests: DataFrame, counts: DataFrame, top: list[int]) -> DataFrame:
     """id, train, codes: for each word its training count, or -1 - rank for a frequent word; in order, without the end."""
-    replies = requests.select("chunk", "i", "h").join(counts, "h", "left").select("chunk", F.lit(0).alias("kind"), "i", "h", F.coalesce("c", F.lit(0)).alias("c"))
     kind = chunks.schema["id"].dataType.simpleString()
-    replies = replies.select("chunk", "kind", "i", "h", "c", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("binary").alias("tokens"))
-    documents = chunks.where("kind = 1").select("chunk", "kind", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), "id", "train", "tokens")
-    order = np.argsort(top)
-    ranked = top[order]
+    ranks = chunks.sparkSession.createDataFrame([(h, -1 - r) for r, h in enumerate(top)], "h long, rank long")  # FREQUENT rows at most
+    codes = counts.join(F.broadcast(ranks), "h", "left").select("h", F.coalesce("rank", "c").alias("c"))
+    # Words that no training text has get no reply: their code is 0.
+    replies = requests.select("chunk", "i", "h").join(codes, "h").select("chunk", F.lit(0).alias("kind"), "i", "c")
+    replies = replies.select("*", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("binary").alias("tokens"))
+    documents = chunks.where("kind = 1").select("chunk", "kind", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("c"), "id", "train", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
-        table, owner = np.zeros(0, np.int64), None
+        table, owner = np.zeros(1, np.int64), None
         for b in batches:
             chunk, is_doc = b.column(0).to_numpy(), b.column(1).to_numpy() == 1
             cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
@@ -111,21 +112,17 @@ def _coded(chunks: DataFrame, requests: DataFrame, counts: DataFrame, top: np.nd
             for x, y in zip(edges[:-1], edges[1:], strict=True):
                 p = b.slice(x, y - x)
                 if owner != chunk[x]:
-                    parts, table, owner = [], np.zeros(0, np.int64), chunk[x]
+                    parts, table, owner = [], np.zeros(1, np.int64), chunk[x]
                 if not is_doc[x]:
-                    h, c = p.column(3).to_numpy(), p.column(4).to_numpy()
-                    if len(ranked):
-                        at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
-                        c = np.where(ranked[at] == h, -1 - order[at], c)
-                    parts.append((p.column(2).to_numpy(), c))
+                    parts.append((p.column(2).to_numpy(), p.column(3).to_numpy()))
                     continue
                 if parts:
                     i, c = np.concatenate([q[0] for q in parts]), np.concatenate([q[1] for q in parts])
-                    table = np.zeros(len(i), np.int64)
+                    table = np.zeros(int(i.max()) + 2, np.int64)  # the last entry is for all numbers above
                     table[i] = c
                     parts = []
-                codes = [table[np.frombuffer(t, dtype=np.int32)].tobytes() for t in p.column(7).to_pylist()]
-                yield pa.record_batch([p.column(5), p.column(6), pa.array(codes, pa.binary())], names=["id", "train", "codes"])
+                codes = [table[np.minimum(np.frombuffer(t, dtype=np.int32), len(table) - 1)].tobytes() for t in p.column(6).to_pylist()]
+                yield pa.record_batch([p.column(4), p.column(5), pa.array(codes, pa.binary())], names=["id", "train", "codes"])
 
     both = replies.unionByName(documents).repartition("chunk").sortWithinPartitions("chunk", "kind")
     return both.mapInArrow(run, f"id {kind}, train boolean, codes binary")
@@ -256,7 +253,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     total, vocabulary = int(sums.n or 0) + ends, sums.v + bool(ends)
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     top_counts = np.array([r.c for r in top], dtype=np.int64)
-    coded = materialize(_coded(chunks, requests, counts, np.array([r.h for r in top], dtype=np.int64)), "lm-codes")
+    coded = materialize(_coded(chunks, requests, counts, [r.h for r in top]), "lm-codes")
     model = spark.sparkContext.broadcast(_fit(counts, coded, top_counts, total, vocabulary, ends))
     kind = coded.schema["id"].dataType.simpleString()
 
