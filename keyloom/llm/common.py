@@ -13,7 +13,7 @@ from ..plans.ship import ship
 #: Rows of text that go to a Python worker at once; keeps a batch of ordinary documents at a few MB.
 ARROW_ROWS = 1000
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
