@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words that a task keeps.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 #: Characters that unicodedata and the tokenizers library surely normalise alike; other texts go through the library.
 _PLAIN = regex.compile(r"[\x00-ɏ‐-‧‰-›₠-₿™]*")
 
@@ -36,7 +36,7 @@ def id_to_piece(parsed: dict) -> dict[int, str]:
 
 
 class WordTable:
-    """Distinct words, each with its ids as numbers and as text and its decoded pieces."""
+    """Distinct words, each with the number of its ids, its ids as text and its decoded pieces."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -54,7 +54,7 @@ class WordTable:
         self.model = Tokenizer.from_str(bare)
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces = id_to_piece(parsed)
-        self.words: dict[str, tuple[list[int], str, str]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
 
     def normalise(self, text: str) -> str:
         if _PLAIN.fullmatch(text):
@@ -67,14 +67,14 @@ class WordTable:
             self.words.clear()
             new = list(set(words))
         for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = (e.ids, " ".join(map(str, e.ids)), " ".join([self.pieces[i] for i in e.ids]))
+            self.words[w] = (len(e.ids), " ".join(map(str, e.ids)), " ".join([self.pieces[i] for i in e.ids]))
 
-    def entries(self, text: str | None) -> list[tuple[list[int], str, str]]:
+    def entries(self, text: str | None) -> list[tuple[int, str, str]]:
         """One entry for each word of the text, in order of position."""
-        out: list[tuple[list[int], str, str]] = []
+        out: list[tuple[int, str, str]] = []
         for part in self.at_special.split(text) if text and "<|" in text else [text or ""]:
             if part in self.specials:
-                out.append(([self.specials[part]], str(self.specials[part]), part))
+                out.append((1, str(self.specials[part]), part))
                 continue
             words = self.split(self.normalise(part))
             table = self.words
@@ -86,6 +86,10 @@ class WordTable:
         return out
 
 
+def ids_of(entries: list[tuple[int, str, str]]) -> list[int]:
+    return [int(i) for e in entries for i in e[1].split()]
+
+
 @lru_cache(maxsize=2)
 def _table(spec: str) -> WordTable:
     return WordTable(spec)
@@ -103,8 +107,9 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _table(spec.value)
         for b in batches:
-            ids = [[i for e in words.entries(x) for i in e[0]] for x in b.column(1).to_pylist()]
+            ids = [ids_of(words.entries(x)) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+        words.words.clear()  # the worker lives on
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
@@ -134,14 +139,15 @@ def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: st
             counts, ids, texts, numbers = [], [], [], []
             for x in b.column(1).to_pylist():
                 found = words.entries(x)
-                counts.append(sum([len(e[0]) for e in found]))
+                counts.append(sum([e[0] for e in found]))
                 if with_ids:
-                    numbers.append([i for e in found for i in e[0]])
+                    numbers.append(ids_of(found))
                 ids.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
                 texts.append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
             cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.record_batch([*cols, pa.array(numbers, pa.list_(pa.int32()))] if with_ids else cols, names=[*names, "ids"] if with_ids else names)
+        words.words.clear()  # the worker lives on
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)

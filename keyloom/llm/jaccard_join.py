@@ -242,11 +242,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     classes = materialize(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cid")).join(alone, "s1", "left_anti"), "jaccard-classes")
     wanted = classes.select(F.col("cid").alias("id"), F.col("s1").alias("w1"), F.col("s2").alias("w2"))
-    if classes.count() <= BROADCAST_IDS:
+    n_classes = classes.count()
+    if n_classes <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = _whole_sets(texts.join(wanted.select("id"), "id", "left_semi"), width)
     sets = sets.join(wanted, "id").where("s1 = w1 and s2 = w2").select("id", "n", "set", "bits")
-    sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets")
+    sets = materialize(sets, "jaccard-sets")
+    if sets.count() > n_classes:  # repeated rows
+        sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets")
 
     # Prefixes by document frequency; what a class owns alone comes first and matches nothing.
     tokens = _tokens(sets)
