@@ -34,6 +34,8 @@ LEAST = 8
 #: Codewords of each codebook at least; directions are their square.
 CODES = 256
 BLOCK = 1024
+#: Inner products with a codebook that are held at once: codebooks grow with the table, memory doesn't.
+STEP_PRODUCTS = 1 << 20
 
 
 @lru_cache(maxsize=16)
@@ -48,6 +50,11 @@ def _codebooks(dim: int, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def filters_of(unit: np.ndarray, codes: int) -> list[np.ndarray]:
     """The ascending filters that take each unit vector."""
+    rows = max(1, STEP_PRODUCTS // codes)
+    return [f for at in range(0, len(unit), rows) for f in _filters(unit[at : at + rows], codes)]
+
+
+def _filters(unit: np.ndarray, codes: int) -> list[np.ndarray]:
     dim = unit.shape[1]
     turn, left, right = _codebooks(dim, codes)
     x = unit @ turn
