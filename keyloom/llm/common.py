@@ -38,7 +38,7 @@ def fold(id_col: Column | str, folds: int = 5) -> Column:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only for a local master that names none."""
     conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None) or spark.conf.get("keyloom.scratch.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or spark.conf.get("keyloom.scratch.dir", None):
         return found
     if not conf.get("spark.master", "").startswith("local["):
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_keyloom_scratch"
