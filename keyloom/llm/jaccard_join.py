@@ -17,7 +17,7 @@ prefix.  The order is by document frequency, so prefixes hold the rarest shingle
 
 Null and empty texts and texts without a word have an empty set and link with nothing.  A text with fewer words than a
 shingle is one shingle.  Rows with equal id and text count as one document; rows with one id and different texts share a
-component.  Empty tables give empty results.  Only id and text are read, so other columns cannot clash.
+component, but for those without a word; rows with a null id link nothing.  Empty tables give empty results.  Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -206,7 +206,7 @@ def _candidates(lists: DataFrame, percent: int, spanning: bool) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets really link."""
+    """(a, b): smallest keys of the classes whose sets really link."""
 
     @F.pandas_udf("long")
     def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -217,10 +217,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
         return pd.Series(out)
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", overlap("sa", "sb").alias("i"))
-    return both.where((100 + percent) * F.col("i") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    left = sets.select(F.col("id").alias("a"), F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("set").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("cid").alias("cb"), F.col("n").alias("nb"), F.col("set").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("ca", "cb", "na", "nb", overlap("sa", "sb").alias("i"))
+    return both.where((100 + percent) * F.col("i") >= percent * (F.col("na") + F.col("nb"))).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def _prefix_size(n: Column, percent: int) -> Column:
@@ -240,13 +240,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     alone = seen.where("s1 = x").groupBy("s1").agg(F.count("*").alias("u"), F.max("n").alias("n"))
     alone = alone.where(F.col("u") >= _prefix_size(F.col("n"), percent)).select("s1")
 
-    classes = materialize(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cid")).join(alone, "s1", "left_anti"), "jaccard-classes")
-    wanted = classes.select(F.col("cid").alias("id"), F.col("s1").alias("w1"), F.col("s2").alias("w2"))
+    classes = materialize(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cid")).where("cid is not null").join(alone, "s1", "left_anti"), "jaccard-classes")
+    # Ids of rows with different texts.  Where there are any, an id may stand for several classes: these go by a hash then.
+    kinds = meta.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.xxhash64("s1", "s2", "n")).alias("x"), F.max(F.xxhash64("s1", "s2", "n")).alias("y"))
+    again = materialize(kinds.where("x != y").select("id"), "jaccard-again")
+    has_again = not again.isEmpty()
+    node = F.xxhash64("s1", "s2", "n") if has_again else F.col("cid")
+    wanted = classes.select(F.col("cid").alias("id"), F.col("s1").alias("w1"), F.col("s2").alias("w2"), node.alias("node"))
     n_classes = classes.count()
     if n_classes <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = _whole_sets(texts.join(wanted.select("id"), "id", "left_semi"), width)
-    sets = sets.join(wanted, "id").where("s1 = w1 and s2 = w2").select("id", "n", "set", "bits")
+    sets = sets.join(wanted, "id").where("s1 = w1 and s2 = w2").select(F.col("node").alias("id"), F.col("id").alias("cid"), "n", "set", "bits")
     sets = materialize(sets, "jaccard-sets")
     if sets.count() > n_classes:  # repeated rows
         sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets")
@@ -261,18 +266,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     entries = prefixed.select("id", "n", "u", "gid", F.posexplode("p").alias("i", "t")).select("id", "n", "gid", (F.col("u") + F.col("i")).alias("pos"), "t")
     entries = materialize(entries, "jaccard-prefixes")
     long = entries.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    lists = entries.join(long, "t").join(sets.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    lists = entries.join(long, "t").join(sets.select("id", "cid", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = lists.select("t", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "n", "pos", "gid", "bits")
+    lists = lists.select("t", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "cid", "n", "pos", "gid", "bits")
 
-    links = materialize(_verify(_candidates(lists.withColumn("comp", F.xxhash64("id")), percent, True), sets, percent), "jaccard-links")
+    links = materialize(_verify(_candidates(lists.withColumn("comp", F.xxhash64("cid")), percent, True), sets, percent), "jaccard-links")
     first = components(links, "jaccard-first")
-    known = lists.join(first, "id", "left").withColumn("comp", F.xxhash64(F.coalesce("component", "id"))).drop("component")
+    known = lists.join(first.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.xxhash64(F.coalesce("component", "cid"))).drop("component")
     more = materialize(_verify(_candidates(known, percent, False), sets, percent), "jaccard-more")
-    final = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-final")
+    edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
 
     # Every document has the component of its class; classes without links are components of their own.
     all_classes = meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cid"))
+    if has_again:  # the classes of one id belong together
+        told = meta.join(again, "id", "left_semi").join(all_classes, ["s1", "s2", "n"])
+        edges = edges.unionByName(told.select(F.col("id").alias("a"), F.col("cid").alias("b")).distinct())
+    final = components(edges, "jaccard-final")
     placed = all_classes.join(final.withColumnRenamed("id", "cid"), "cid", "left").select("s1", "s2", "n", F.coalesce("component", "cid").alias("component"))
     out = meta.join(placed, ["s1", "s2", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

@@ -313,6 +313,38 @@ def test_jaccard(docs, none, monkeypatch, width, percent, block):
         assert jaccard_join.jaccard_components(none, width=width, percent=percent).count() == 0
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id with different texts are in one component; rows without an id link nothing."""
+    prepare(spark)
+    rng = random.Random(3)
+    base = [rng.choices([f"w{i}" for i in range(400)], k=60) for _ in range(10)]
+    rows = []
+    for _ in range(80):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            words[rng.randrange(60)] = "edit"
+        rows.append((rng.randrange(50), " ".join(words)))
+    rows += rows[:15]
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    nodes = [(i, shingles(t, 3)) for i, t in rows]
+    for n, (i, a) in enumerate(nodes):
+        for m, (j, b) in enumerate(nodes[:n]):
+            if i == j or 100 * len(a & b) >= 90 * len(a | b):
+                root[find(n)] = find(m)
+    low = defaultdict(list)
+    for n, (i, _) in enumerate(nodes):
+        low[find(n)].append(i)
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, "all alone here today")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, width=3, percent=90).collect() if r.doc_id is not None)
+    assert got == sorted((i, min(low[find(n)])) for n, (i, _) in enumerate(nodes))
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(1000, i) for i in range(900, 1000)]
