@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Request tables of at most so many rows may be broadcast to the table's partitions.
+#: Requests for at most so many distinct keys may be broadcast to the table's partitions.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -16,15 +16,14 @@ def pull(table: DataFrame, request: DataFrame, keys: list[str], defaults: Mappin
 
     ``fetch`` maps result names to expressions of the stored row (default: the column).  The table's key is unique, so
     duplicate keys of the request need no extra step: each position finds its row in the same join.
-    ``small``: the caller knows the request to be bounded (checked against BROADCAST_KEYS).
+    ``small``: the caller expects few distinct keys; up to BROADCAST_KEYS of them are broadcast, more take the ordinary join.
     """
     fetch = fetch or {}
     side = table.select(*keys, *[F.expr(fetch.get(v, f"`{v}`")).alias(f"__{v}") for v in defaults], F.lit(True).alias("__hit"))
     if small:
-        if request.count() > BROADCAST_KEYS:
-            raise ValueError("the request is too large for a broadcast pull")
         wanted = request.select(*keys).distinct()
-        side = side.join(F.broadcast(wanted), keys, "left_semi")
+        if wanted.count() <= BROADCAST_KEYS:
+            side = side.join(F.broadcast(wanted), keys, "left_semi")
     out = request.join(side, keys, "left")
     return out.select(*request.columns, *[F.when(F.col("__hit"), F.col(f"__{v}")).otherwise(F.expr(d)).alias(v) for v, d in defaults.items()])
 

@@ -112,6 +112,18 @@ def test_pull_defaults_duplicates_inserts(spark, table):
     assert t.pull(wanted.limit(0), ZERO).count() == 0
 
 
+def test_broadcast_pull_of_any_size(spark, table, monkeypatch):
+    """The bound is on distinct keys, and a pull above it is an ordinary one."""
+    broadcasts = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    table = table.push(items(spark, 1))
+    wanted = spark.createDataFrame([(i, i % 3) for i in range(9)], "pos int, key int")
+    expected = rows(table.pull(wanted, ZERO), "pos", "sum", "count")
+    for bound, hints in ((3, 1), (2, 0)):
+        monkeypatch.setattr(pull, "BROADCAST_KEYS", bound)
+        got = pull.pull(table.df(), wanted, ["key"], ZERO, small=True)
+        assert rows(got, "pos", "sum", "count") == expected and broadcasts(got) == hints
+
+
 def test_empty_table(spark, table):
     assert table.df().count() == 0 and table.erase_if("key > 0").df().count() == 0
     assert rows(table.refresh().pull(spark.createDataFrame([(1,)], "key int"), ZERO), "sum") == [(0,)]
