@@ -1,15 +1,19 @@
 """Language-model scoring with Brown classes.
 
-The vocabulary's most frequent words are clustered by the exchange algorithm: each word moves to the class that raises the
-likelihood of the class bigrams most, until none moves.  Every other word belongs to a class of words about as frequent (powers of two);
-unseen words share the class of words seen once, and the end of a text is a class of its own.  A token's probability is
-that of its class after the class before it (smoothed by the class's own frequency) times that of the word in its class
-(with half a count for one unseen word in the rarest class).
-
-How it is gathered: texts are read once.  Each task turns its texts into chunks: local numbers of words for every
-document, and a table of the chunk's distinct words with their counts.  Counts are summed over all chunks and sent back
-to the chunks that have the word, so neither texts nor tokens are shuffled by word; documents follow with their chunk's
-numbers.  The driver only sees the ``FREQUENT`` top words and the bigrams of these and the frequency classes.
+All training words are clustered by the exchange algorithm: each word moves to the class that raises the likelihood of the
+class bigrams most.  It starts on the driver with the ``FREQUENT`` top words, one after the other until none moves, while
+every other word is in a class of words about as frequent (powers of two).  Then rounds over all words follow, in which each
+word has all classes to choose from and sees the others where they were before the round; they end when a round no longer
+raises the likelihood, and the classes before that round are kept.  Unseen words share the class that began with words seen
+once, and the end of a text is a class of its own.  A token's probability is that of its class after the class before it
+(smoothed by the class's own frequency) times that of the word in its class (with half a count for one unseen word in the
+class of unseen words).
+
+How it is gathered: texts are read once.  Each task turns its texts into chunks: local numbers of words for every document,
+and a table of the chunk's distinct words with their counts.  Chunks stay where they were dealt to, on disk; so do the
+chunks' distinct words, dealt by word.  Every round sends each chunk the classes of its words and each word its neighbours'
+classes, so neither texts nor tokens are shuffled again.  The driver only sees the ``FREQUENT`` top words, the bigrams of
+these and the frequency classes, and the bigrams of classes.
 
 Null and empty texts are one end token.  Texts are scored whole.  Rows with one id are scored apart.  Empty tables give
 empty results.  Only id and text are read, so other columns cannot clash.  Words are compared by 64-bit hashes.
@@ -17,20 +21,23 @@ empty results.  Only id and text are read, so other columns cannot clash.  Words
 
 from __future__ import annotations
 
+import gc
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .common import materialize
 
-FREQUENT, CLASSES, ROUNDS = 1000, 48, 6
+FREQUENT, CLASSES = 1000, 48
 #: Tokens of a chunk.
 CHUNK_TOKENS = 1 << 20
 #: Weight of a class's own frequency against what follows the class before it.
@@ -39,6 +46,15 @@ _LEVELS = 64
 #: Items of a bigram: the frequent words, the end of a text, and a class for each power of two.
 _END, _RARE = FREQUENT, FREQUENT + 1
 _ITEMS = FREQUENT + 1 + _LEVELS
+#: Classes: the clustered ones, the end of a text, the frequency classes of the start, and unseen words.
+_END_CLASS, _UNSEEN = CLASSES, CLASSES + 1 + _LEVELS
+_ALL = _UNSEEN + 1
+#: Clustering ends when a round adds less than this share of the likelihood, or when so small a share of the words, moving at once, doesn't raise it.
+TOLERANCE, LEAST_SHARE = 1e-3, 1 / 64
+#: A word's code: its item or class, and its training count in the lower bits.
+_SHIFT = 48
+#: Words whose moves are found in one vectorised step.
+_STEP_WORDS = 1024
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -92,82 +108,181 @@ def _requests(chunks: DataFrame) -> DataFrame:
     return chunks.where("kind = 0").select("chunk", "tokens", "counts").mapInArrow(run, "chunk long, i int, h long, n long")
 
 
-def _coded(chunks: DataFrame, requests: DataFrame, counts: DataFrame, top: list[int]) -> DataFrame:
-    """id, train, codes: for each word its training count, or -1 - rank for a frequent word; in order, without the end."""
-    kind = chunks.schema["id"].dataType.simpleString()
-    ranks = chunks.sparkSession.createDataFrame([(h, -1 - r) for r, h in enumerate(top)], "h long, rank long")  # FREQUENT rows at most
-    codes = counts.join(F.broadcast(ranks), "h", "left").select("h", F.coalesce("rank", "c").alias("c"))
-    # Words that no training text has get no reply: their code is 0.
-    replies = requests.select("chunk", "i", "h").join(codes, "h").select("chunk", F.lit(0).alias("kind"), "i", "c")
-    replies = replies.select("*", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("binary").alias("tokens"))
-    documents = chunks.where("kind = 1").select("chunk", "kind", F.lit(None).cast("int").alias("i"), F.lit(None).cast("long").alias("c"), "id", "train", "tokens")
+def _walk(dealt: DataFrame, requests: DataFrame, codes: DataFrame, unknown: int, work: Callable, schema: str) -> DataFrame:
+    """work(table of documents, the chunk's words, their codes) of each chunk; words that no training text has get ``unknown``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        table, owner = np.zeros(1, np.int64), None
-        for b in batches:
-            chunk, is_doc = b.column(0).to_numpy(), b.column(1).to_numpy() == 1
-            cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
-            edges = [0, *cuts.tolist(), len(chunk)] if len(chunk) else [0]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                p = b.slice(x, y - x)
-                if owner != chunk[x]:
-                    parts, table, owner = [], np.zeros(1, np.int64), chunk[x]
-                if not is_doc[x]:
-                    parts.append((p.column(2).to_numpy(), p.column(3).to_numpy()))
-                    continue
-                if parts:
-                    i, c = np.concatenate([q[0] for q in parts]), np.concatenate([q[1] for q in parts])
-                    table = np.zeros(int(i.max()) + 2, np.int64)  # the last entry is for all numbers above
-                    table[i] = c
-                    parts = []
-                codes = [table[np.minimum(np.frombuffer(t, dtype=np.int32), len(table) - 1)].tobytes() for t in p.column(6).to_pylist()]
-                yield pa.record_batch([p.column(4), p.column(5), pa.array(codes, pa.binary())], names=["id", "train", "codes"])
-
-    both = replies.unionByName(documents).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return both.mapInArrow(run, f"id {kind}, train boolean, codes binary")
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        own = chunk.filter(pa.compute.equal(chunk["kind"], 0))
+        words = np.frombuffer(own["tokens"][0].as_py(), dtype=np.int64)
+        found = np.full(len(words), unknown, dtype=np.int64)
+        found[replies["i"].to_numpy()] = replies["code"].to_numpy()
+        return work(chunk.filter(pa.compute.equal(chunk["kind"], 1)), words, found)
 
+    replies = requests.select("chunk", "i", "h").join(codes, "h").select("chunk", "i", "code")
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
-def _items(codes: np.ndarray) -> np.ndarray:
-    """The bigram item of each code."""
-    level = np.log2(np.maximum(codes, 1).astype(float)).astype(np.int64)
-    return np.where(codes < 0, -1 - codes, _RARE + level)
+
+def _sequence(docs: pa.Table, end: int) -> np.ndarray:
+    """The word numbers of training texts, with an end before, between and after them."""
+    tokens = docs.filter(docs["train"])["tokens"].to_pylist()
+    return np.concatenate([[end], *(x for t in tokens for x in (np.frombuffer(t, dtype=np.int32), [end]))]).astype(np.int64)
 
 
-def _bigrams(coded: DataFrame) -> np.ndarray:
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _bigrams(dealt: DataFrame, requests: DataFrame, items: DataFrame) -> np.ndarray:
     """Counts [before, after] of the items of training texts; a text begins after an end and ends with one."""
 
+    def work(docs: pa.Table, words: np.ndarray, codes: np.ndarray) -> pa.Table:
+        seq = np.append(codes >> _SHIFT, _END)[_sequence(docs, len(words))]
+        p, n = _runs(seq[:-1] * _ITEMS + seq[1:])
+        return pa.table({"p": p, "n": n})
+
+    out = np.zeros(_ITEMS * _ITEMS)
+    found = _walk(dealt, requests, items, _RARE << _SHIFT, work, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()  # at most _ITEMS squared rows
+    out[found.p.to_numpy()] = found.n.to_numpy()
+    return out.reshape(_ITEMS, _ITEMS)
+
+
+def _neighbours(dealt: DataFrame, requests: DataFrame, words: DataFrame) -> DataFrame:
+    """h, code, cells: for each training word and chunk how often each class follows it (slots from 0), stands before it (from _ALL), or the word follows itself (last slot)."""
+
+    def work(docs: pa.Table, names: np.ndarray, codes: np.ndarray) -> pa.Table:
+        seq = _sequence(docs, len(names))
+        cls = np.append(codes >> _SHIFT, _END_CLASS)[seq]
+        slots, word = 2 * _ALL + 1, seq < len(names)
+        twice = seq[:-1] == seq[1:]
+        after, before = word[:-1], word[1:] & ~twice
+        keys, n = _runs(np.concatenate((seq[:-1][after] * slots + np.where(twice, 2 * _ALL, cls[1:])[after], seq[1:][before] * slots + _ALL + cls[:-1][before])))
+        w = keys // slots
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+        cells = ((keys % slots) << _SHIFT) | n
+        offsets = (np.append(first, len(w)) * 8).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(cells))])
+        return pa.table({"h": names[w[first]], "cells": blobs})
+
+    cells = _walk(dealt, requests, words, _UNSEEN << _SHIFT, work, "h long, cells binary").groupBy("h").agg(F.collect_list("cells").alias("cells"))
+    return cells.join(words, "h").select("h", "code", "cells")
+
+
+def _dense(codes: np.ndarray, cells: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word, and its counts by slot."""
+    packed = [np.frombuffer(b"".join(c), dtype=np.int64) for c in cells]
+    row = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
+    flat = np.concatenate(packed)
+    slots = 2 * _ALL + 1
+    counts = np.bincount(row * slots + (flat >> _SHIFT), weights=flat & ((1 << _SHIFT) - 1), minlength=len(packed) * slots)
+    return codes >> _SHIFT, counts.reshape(len(packed), slots)
+
+
+def _class_bigrams(neighbours: DataFrame, ends: int) -> np.ndarray:
+    """Counts [before, after] of the classes of training texts; for the class of unseen words, those of words seen once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_ITEMS * _ITEMS, dtype=np.int64)
+        total = np.zeros((_ALL, _ALL))
         for b in batches:
-            for blob in b.column(0).to_pylist():
-                items = np.concatenate(([_END], _items(np.frombuffer(blob, dtype=np.int64)), [_END]))
-                np.add.at(total, items[:-1] * _ITEMS + items[1:], 1)
+            for at in range(0, len(b), _STEP_WORDS):
+                part = b.slice(at, _STEP_WORDS)
+                cls, m = _dense(part.column(0).to_numpy(), part.column(1).to_pylist())
+                np.add.at(total, cls, m[:, :_ALL])
+                np.add.at(total, (cls, cls), m[:, -1])
+                np.add.at(total[_END_CLASS], cls, m[:, _ALL + _END_CLASS])
+                once = m[part.column(0).to_numpy() & ((1 << _SHIFT) - 1) == 1]
+                total[_UNSEEN] += once[:, :_ALL].sum(0)
+                total[:, _UNSEEN] += once[:, _ALL:-1].sum(0)
         at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.record_batch([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], names=["p", "n"])
+        yield pa.record_batch([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], names=["p", "n"])
 
-    out = np.zeros(_ITEMS * _ITEMS)
-    found = coded.where("train").select("codes").mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()  # at most _ITEMS squared rows
+    out = np.zeros(_ALL * _ALL)
+    found = neighbours.select("code", "cells").mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()  # at most _ALL squared rows
     out[found.p.to_numpy()] = found.n.to_numpy()
-    return out.reshape(_ITEMS, _ITEMS)
+    out = out.reshape(_ALL, _ALL)
+    out[_END_CLASS, _END_CLASS] = ends - out[_END_CLASS, :_UNSEEN].sum()  # texts without words
+    return out
+
+
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
+def likelihood(n: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the words, from the counts of their bigrams."""
+    return float(_g(n).sum() - _g(n.sum(1)).sum() - _g(n.sum(0)).sum() + _g(n.sum()))
+
 
+def best_classes(n: np.ndarray, cls: np.ndarray, counts: np.ndarray, classes: int) -> np.ndarray:
+    """For each word the class that it alone would move to: of the first ``classes`` and its own the one of highest likelihood, its own among equals.
 
-def exchange(pairs: np.ndarray, moving: int, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each item: the first ``moving`` items are clustered into ``classes``, every other item is its own class."""
+    ``counts`` has the word's followers by class, the tokens before it by class, and how often it follows itself.
+    """
+    c, w = len(n), np.arange(len(cls))
+    o, i, self_ = counts[:, :c], counts[:, c : 2 * c], counts[:, -1]
+    gain = np.zeros((len(cls), c))
+    for m, mine, other in ((n, o, i), (n.T, i, o)):
+        at, x = np.nonzero(mine)
+        v, a = mine[at, x][:, None], cls[at]
+        # Counts of each class with x, without the word.
+        left = m[:, x].T
+        same = x == a
+        left[same] -= other[at[same]]
+        left[np.arange(len(at)), a] -= v[:, 0] + same * self_[at]
+        np.add.at(gain, at, _g(left + v) - _g(left))
+        total = np.repeat(m.sum(1)[None], len(cls), 0)
+        moved = (mine.sum(1) + self_)[:, None]
+        total[w, cls] -= moved[:, 0]
+        gain -= _g(total + moved) - _g(total)
+    d = np.repeat(np.diag(n)[None], len(cls), 0)
+    d[w, cls] -= o[w, cls] + i[w, cls] + self_
+    gain += _g(d + o + i + self_[:, None]) - _g(d) - (_g(d + o) - _g(d)) - (_g(d + i) - _g(d))
+    own = gain[w, cls]
+    gain = gain[:, :classes]
+    return np.where(gain.max(1) > own + 1e-9, gain.argmax(1), cls)
+
+
+def _move(neighbours: DataFrame, n: np.ndarray, share: float, salt: int) -> DataFrame:
+    """h, code: the words with the classes they move to; a ``share`` of them may move, chosen by hash."""
+    shared = neighbours.sparkSession.sparkContext.broadcast(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), _STEP_WORDS):
+                part = b.slice(at, _STEP_WORDS)
+                h, codes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                cls, counts = _dense(codes, part.column(2).to_pylist())
+                draw = (h.view(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+                free = (draw ^ (draw >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11) < share * (1 << 53)
+                cls[free] = best_classes(shared.value, cls[free], counts[free], CLASSES)
+                yield pa.record_batch([part.column(0), pa.array((cls << _SHIFT) | (codes & ((1 << _SHIFT) - 1)))], names=["h", "code"])
+
+    return neighbours.select("h", "code", "cells").mapInArrow(run, "h long, code long")
+
+
+def _items(codes: np.ndarray) -> np.ndarray:
+    """The bigram item of each code: a count, or -1 - rank for a frequent word."""
+    level = np.log2(np.maximum(codes, 1).astype(float)).astype(np.int64)
+    return np.where(codes < 0, -1 - codes, _RARE + level)
+
+
+def exchange(pairs: np.ndarray, moving: int, classes: int, rounds: int | None = None) -> np.ndarray:
+    """The class of each item: the first ``moving`` items are clustered into ``classes``, every other item is its own class.
+
+    Without ``rounds`` it goes on until no item moves.
+    """
     items = len(pairs)
     cls = np.concatenate((np.arange(moving) % classes, classes + np.arange(items - moving)))
     c = classes + items - moving
 
-    def g(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-12))
-
     member = np.zeros((items, c))
     member[np.arange(items), cls] = 1
     out, inn = pairs @ member, pairs.T @ member
     n = member.T @ out
     k = np.arange(classes)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for w in np.flatnonzero(pairs[:moving].sum(1) + pairs[:, :moving].sum(0) > 0):
             a, self_ = cls[w], pairs[w, w]
@@ -178,11 +293,11 @@ def exchange(pairs: np.ndarray, moving: int, classes: int, rounds: int = ROUNDS)
             n[:, a] -= i
             n[a, a] -= self_
             rows, cols = n[:classes], n[:, :classes].T
-            gain = (g(rows + o) - g(rows) + g(cols + i) - g(cols)).sum(1)
+            gain = (_g(rows + o) - _g(rows) + _g(cols + i) - _g(cols)).sum(1)
             d = n[k, k]
-            gain += g(d + o[k] + i[k] + self_) - g(d) - (g(d + o[k]) - g(d)) - (g(d + i[k]) - g(d))
-            r, s = rows.sum(1), cols.sum(1)
-            gain -= g(r + o.sum() + self_) - g(r) + g(s + i.sum() + self_) - g(s)
+            gain += _g(d + o[k] + i[k] + self_) - _g(d) - (_g(d + o[k]) - _g(d)) - (_g(d + i[k]) - _g(d))
+            r, s = rows.sum(1) + i[:classes], cols.sum(1) + o[:classes]  # with the pairs that the item itself has with a class
+            gain -= _g(r + o.sum() + self_) - _g(r) + _g(s + i.sum() + self_) - _g(s)
             b = int(np.argmax(gain)) if gain.max() > gain[a] + 1e-9 else a
             n[b] += o
             n[:, b] += i
@@ -210,32 +325,82 @@ class ClassModel:
     total: int  # training tokens
     vocabulary: int  # distinct training tokens
     ends: int  # training texts
-    once: int  # words seen once
+    once: int  # words of the class that unseen words share
 
     def score(self, codes: np.ndarray) -> tuple[int, int, float, float]:
         """Tokens, known tokens, base score and model score of one text's codes."""
         c = np.where(codes < 0, self.top_counts[np.clip(-1 - codes, 0, len(self.top_counts) - 1)] if len(self.top_counts) else 0, codes)
-        c = np.append(c, self.ends).astype(float)
+        return self.score_classes(self.cls[_items(codes)], c)
+
+    def score_classes(self, cls: np.ndarray, counts: np.ndarray) -> tuple[int, int, float, float]:
+        """The same from the class and training count of each word."""
+        end, rare = self.cls[_END], self.cls[_RARE]
+        c, k = np.append(counts, self.ends).astype(float), np.append(cls, end)
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.vocabulary + 1))).sum()
-        k = self.cls[np.append(_items(codes), _END)]
-        before = np.concatenate((self.cls[[_END]], k[:-1]))
-        rare = self.cls[_RARE]
+        before = np.concatenate(([end], k[:-1]))
         word = np.where(k == rare, (c + 0.5) / (self.mass[rare] + 0.5 * (self.once + 1)), np.maximum(c, 0.5) / np.maximum(self.mass[k], 1))
         return len(c), int((c > 0).sum()), float(base), float((self.transition[before, k] + np.log10(word)).sum())
 
 
-def _fit(counts: DataFrame, coded: DataFrame, top_counts: np.ndarray, total: int, vocabulary: int, ends: int) -> ClassModel:
-    pairs = _bigrams(coded)
-    cls = exchange(pairs, FREQUENT, CLASSES)
-    size = int(cls.max()) + 1
-    member = np.zeros((_ITEMS, size))
-    member[np.arange(_ITEMS), cls] = 1
-    n = member.T @ pairs @ member
-    mass = n.sum(0)
-    own = (mass + 0.5) / (mass.sum() + 0.5 * size)
-    transition = np.log10((n + PRIOR * own) / (n.sum(1, keepdims=True) + PRIOR))
-    once = counts.where("c = 1").count()
-    return ClassModel(top_counts, cls, transition, mass, total, vocabulary, ends, once)
+def _seen(n: np.ndarray) -> np.ndarray:
+    """The bigrams without those of unseen words."""
+    out = n.copy()
+    out[_UNSEEN], out[:, _UNSEEN] = 0, 0
+    return out
+
+
+def _transition(n: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before).  The unseen word counts half as much as one word, and stands where words seen once do."""
+    n = n.copy()
+    n[:, _UNSEEN] *= 0.5 / max(1.0, n[:, _UNSEEN].sum())
+    mass = n[:_UNSEEN].sum(0)
+    own = (mass + 0.5) / (mass.sum() + 0.5 * len(n))
+    return np.log10((n + PRIOR * own) / (n.sum(1, keepdims=True) + PRIOR))
+
+
+def _cluster(dealt: DataFrame, requests: DataFrame, counts: DataFrame, ends: int) -> tuple[DataFrame, np.ndarray]:
+    """h and code (class and count) of all training words, and the class bigrams."""
+    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+    ranks = counts.sparkSession.createDataFrame([(r.h, i) for i, r in enumerate(top)], "h long, item int")  # FREQUENT rows at most
+    level = F.lit(_RARE) + F.length(F.bin("c")) - 1
+    items = counts.join(F.broadcast(ranks), "h", "left").select("h", "c", F.coalesce("item", level).alias("item"))
+    code = lambda k: F.shiftleft(k.cast("long"), _SHIFT).bitwiseOR(F.col("c")).alias("code")
+    cls = exchange(_bigrams(dealt, requests, items.select("h", code(F.col("item")))), FREQUENT, CLASSES)
+    start = F.element_at(F.array(*[F.lit(int(k)) for k in cls]), F.col("item") + 1)
+    words = materialize(items.select("h", code(start)), "lm-words")
+    around = _neighbours(dealt, requests, words).persist(StorageLevel.DISK_ONLY)
+    n, share, turn = _class_bigrams(around, ends), 0.5, 0
+    while share >= LEAST_SHARE:
+        turn += 1
+        moved = materialize(_move(around, _seen(n), share, turn), "lm-words")
+        near = _neighbours(dealt, requests, moved).persist(StorageLevel.DISK_ONLY)
+        m = _class_bigrams(near, ends)
+        old, new = likelihood(_seen(n)), likelihood(_seen(m))
+        if new > old:
+            (words, moved), (around, near), n = (moved, words), (near, around), m
+        else:  # too many moved at once
+            share /= 2
+        near.unpersist(blocking=True)
+        _drop(moved)
+        del near, moved
+        _free_shuffles(dealt)
+        if 0 < new - old <= TOLERANCE * new:
+            break
+    around.unpersist(blocking=True)
+    return words, n
+
+
+def _drop(written: DataFrame) -> None:
+    """Deletes a table that this run has materialized."""
+    for f in written.inputFiles():
+        path = written.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def _free_shuffles(df: DataFrame) -> None:
+    """Spark deletes the shuffle files of a round once its collector finds that nothing refers to them."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,26 +411,31 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chunks = materialize(_chunks(rows), "lm-chunks")
-    requests = _requests(chunks)
+    parts = chunks.where("kind = 0").count() // 2 + 1
+    dealt = chunks.repartition(parts, "chunk").persist(StorageLevel.DISK_ONLY)
+    requests = _requests(chunks).repartition(parts, "h").persist(StorageLevel.DISK_ONLY)
     counts = materialize(requests.where("n > 0").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     ends = chunks.where("kind = 1 and train").count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     total, vocabulary = int(sums.n or 0) + ends, sums.v + bool(ends)
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    top_counts = np.array([r.c for r in top], dtype=np.int64)
-    coded = materialize(_coded(chunks, requests, counts, [r.h for r in top]), "lm-codes")
-    model = spark.sparkContext.broadcast(_fit(counts, coded, top_counts, total, vocabulary, ends))
-    kind = coded.schema["id"].dataType.simpleString()
+    words, n = _cluster(dealt, requests, counts, ends)
+    cls = np.zeros(_ITEMS, dtype=np.int64)
+    cls[_END], cls[_RARE] = _END_CLASS, _UNSEEN
+    model = spark.sparkContext.broadcast(ClassModel(np.zeros(0), cls, _transition(n), _seen(n).sum(0), total, vocabulary, ends, 0))
+    kind = chunks.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(docs: pa.Table, names: np.ndarray, codes: np.ndarray) -> pa.Table:
         m = model.value
-        for b in batches:
-            got = [m.score(np.frombuffer(c, dtype=np.int64)) for c in b.column(1).to_pylist()]
-            cols = list(zip(*got, strict=True)) if got else [[]] * 4
-            yield pa.record_batch(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([m.total] * len(got), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
-                names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    out = coded.select("id", "codes").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        texts = (codes[np.frombuffer(t, dtype=np.int32)] for t in docs["tokens"].to_pylist())
+        got = [m.score_classes(t >> _SHIFT, t & ((1 << _SHIFT) - 1)) for t in texts]
+        cols = list(zip(*got, strict=True)) if got else [[]] * 4
+        return pa.table(
+            [docs["id"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([m.total] * len(got), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
+            names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    out = _walk(dealt, requests, words, _UNSEEN << _SHIFT, work, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = materialize(out, "lm-scores")
+    dealt.unpersist()
+    requests.unpersist()
     return out.withColumnRenamed("id", key)

@@ -388,6 +388,32 @@ def test_exchange_finds_classes():
     assert len(set(cls[:40:2])) == len(set(cls[1:40:2])) == 1 and cls[0] != cls[1] and cls[40] == 2
 
 
+def test_best_classes_raise_the_likelihood_most():
+    rng = np.random.default_rng(0)
+    words, classes = 12, 5
+    pairs, cls = rng.integers(0, 4, (words, words)).astype(float), rng.integers(0, classes, words)
+    member = lambda k: np.eye(classes)[k]
+    value = lambda k: class_lm.likelihood(member(k).T @ pairs @ member(k))
+    after, before, twice = pairs @ member(cls), pairs.T @ member(cls), np.diag(pairs)
+    after[np.arange(words), cls] -= twice
+    before[np.arange(words), cls] -= twice
+    got = class_lm.best_classes(member(cls).T @ pairs @ member(cls), cls, np.column_stack((after, before, twice)), classes)
+    for w in range(words):
+        of = [value(np.where(np.arange(words) == w, b, cls)) for b in range(classes)]
+        assert of[got[w]] == pytest.approx(max(of))
+
+
+def test_rare_words_are_clustered_too(spark):
+    """Words of two kinds take turns; there are more than the frequent ones, all about as frequent."""
+    rng, kinds = random.Random(5), class_lm.FREQUENT * 2
+    texts = [" ".join(f"{'ab'[i % 2]}{rng.randrange(kinds)}" for i in range(60)) for _ in range(1000)]
+    prepare(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = class_lm.score_documents(df, F.lit(True)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    # Knowing the kind halves the choice: log10(2) a token.
+    assert r[0] - r[1] > 0.25 * r[2]
+
+
 def test_model_probabilities_sum_to_one(docs):
     model = class_lm.ClassModel(np.array([50, 30]), np.array([0, 1, *[0] * (class_lm.FREQUENT - 2), 2, *range(3, 3 + 64)]), np.log10(np.full((67, 67), 1 / 67)), np.zeros(67), 100, 10, 5, 4)
     model.mass[[0, 1, 2, 3]] = [50, 30, 5, 4]
