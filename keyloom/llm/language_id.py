@@ -6,7 +6,8 @@ bytes over all blocks wins (ties: the first by code point).  The margin is the s
 of its bytes; ``rejected`` marks margins under ``min_margin`` and texts without letters.
 
 Learning reads a bounded sample: at most about ``SAMPLE_DOCS`` texts of each language, chosen by a hash of the text, and
-``DICT_BYTES`` of dictionary each.  Scoring reads whole texts of every length.
+``DICT_BYTES`` of dictionary each.  All texts of the sample enter, with equal shares of the dictionary as far as they are
+long enough; of longer ones it is a piece at a place chosen by the hash, anywhere in the text.  Scoring reads whole texts of every length.
 
 Null, empty and letterless texts: ``und``, score 0, rejected.  With no learned language every text is ``und``; with one, margins are 1.
 Rows with a null language teach nothing.  Repeated rows get equal results; an empty table gives an empty result.  Only the
@@ -25,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 600
-SAMPLE_CHARS = 1500
 DICT_BYTES = 128 << 10
 BLOCK_CHARS = 2000
 LEVEL = 6
@@ -114,21 +114,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
         return LanguageModel({}, min_margin)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n)))])
     u = F.shiftrightunsigned(F.xxhash64("t"), 11) / float(1 << 53)
-    sample = rows.where(u <= F.element_at(share, F.col("l"))).select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("t").alias("h"))
+    # Twice a text's share, since normalising shortens.
+    size = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2 * DICT_BYTES // min(SAMPLE_DOCS, n)))]), F.col("l"))
+    place = 1 + F.pmod(F.xxhash64(F.lit("place"), "t"), F.greatest(F.lit(1), F.length("t") - size + 1))
+    sample = rows.where(u <= F.element_at(share, F.col("l"))).select("l", F.substr("t", place.cast("int"), size).alias("t"), F.xxhash64("t").alias("h"))
     texts: dict[str, dict[str, int]] = {}
     for r in sample.toLocalIterator():
         if (n := normalise(r.t)):
             texts.setdefault(r.l, {})[n] = r.h
     out = {}
     for k, found in texts.items():
-        ordered = sorted(found, key=lambda t: (found[t], t))
-        kept, size = [], 0
-        for t in ordered:
-            if size >= DICT_BYTES:
-                break
-            kept.append(b := t.encode("utf-8", "replace"))
-            size += len(b) + 1
-        out[k] = b" ".join(kept)[:DICT_BYTES]
+        parts = {t: t.encode("utf-8", "replace") for t in found}
+        left = DICT_BYTES
+        for done, t in enumerate(sorted(parts, key=lambda t: (len(parts[t]), t))):
+            parts[t] = parts[t][: max(0, left // (len(parts) - done) - 1)].decode("utf-8", "ignore").encode()
+            left -= len(parts[t]) + 1
+        out[k] = b" ".join(parts[t] for t in sorted(found, key=lambda t: (found[t], t)))
     return LanguageModel({k: v for k, v in out.items() if len(v) >= 8}, min_margin)
 
 

@@ -281,6 +281,16 @@ def test_language_id(spark, docs, none):
     assert one.predict("walrus")[:1] == ("aa",)
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    """Every text of the sample enters the dictionary, with a piece from anywhere in it."""
+    words = {"en": "the house with that which from this", "de": "das haus mit dem welches von diesem"}
+    texts = [(k, "1 2 3 " * 400 + f"{w} {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10] * 3} " * (1 + i * 5)) for k, w in words.items() for i in range(100)]
+    model = language_id.train(spark.createDataFrame(texts, "lang string, text string"))
+    assert set(model.dictionaries) == set(words) and all(len(d) <= language_id.DICT_BYTES for d in model.dictionaries.values())
+    assert all(len(set(re.findall(rb"([a-j])\1\1([k-t])\2\2", d))) >= 95 for d in model.dictionaries.values())
+    assert [model.predict(w)[0] for w in words.values()] == list(words)
+
+
 # 6: Jaccard join
 
 
