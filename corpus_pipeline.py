@@ -29,17 +29,22 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (five words, similarity 0.8)."""
+    """Keeps the first document of each group of near copies (five words, similarity 0.8).
+
+    Rows that share an id are documents of their own: they are grouped by their texts, and those of one id are in the order
+    of hashes of text and row.
+    """
     prepare(spark)
-    found = materialize(jaccard_join.jaccard_components(docs), "pipeline-components")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    key, rows = "doc_id", docs
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        key = "__row"
+        order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+        rows = materialize(docs.orderBy(*order).withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    found = materialize(jaccard_join.jaccard_components(rows, key), "pipeline-components")
+    gone = found.where(F.col(key) != F.col("component_id")).select(key)
     if gone.count() <= jaccard_join.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():  # rows that repeat an id
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-    return kept
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

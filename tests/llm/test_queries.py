@@ -44,3 +44,12 @@ def test_pipeline(spark):
             assert all(labels[d] for d in labels if d not in kept) is False and sum(d in kept for d in labels if labels[d]) >= 0.99 * sum(labels.values())
     assert sizes[0] < before.count() and sizes[2] < sizes[1] and sizes[4] == sizes[3]
     assert entry.queries()["pipeline"](spark, DATA).count() == sizes[4]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, one), (1, two), (1, two), (1, ""), (2, two + " more"), (3, one), (3, three), (None, three), (0, "few words")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_distinct(spark, docs, DATA).collect()), key=str)
+        assert got == sorted([(1, one), (1, two), (1, ""), (3, three), (0, "few words")], key=str)
