@@ -2,7 +2,8 @@
 
 Every word shingle (five words, lower-cased) is hashed, and every hash below a fixed fraction of the hash range is kept.
 Sketches of parts merge by union, and two sketches of very unequal size still estimate how much of the smaller text the
-larger one holds, because the same shingles are kept in both.
+larger one holds, because the same shingles are kept in both.  Of texts with at most ``ALL`` shingles every hash is kept: two
+of them compare exactly, and against a longer one only their hashes below the threshold count.
 
 A fingerprint is text: the hash of all words, ``:``, and the kept hashes in ascending order, joined by ``.``.  Texts with
 the same words have the same fingerprint.  Likeness is 1 for equal word hashes, else the sketches' Jaccard estimate (0
@@ -23,21 +24,27 @@ from .common import shuffle_partitions
 WIDTH = 5
 #: One hash in so many is kept.
 SCALE = 8
+#: Texts with so many shingles at most (repeated ones count) keep all hashes.
+ALL = 64
 #: Id ranges for each shuffle partition, in which the order of documents is established.
 RANGES_PER_PARTITION = 4
 
 
+def _below(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale).cast("long")
+
+
 def sketch(text: Column, width: int = WIDTH, scale: int = SCALE) -> Column:
-    """struct(whole: hash of all words, kept: ascending distinct shingle hashes below the threshold)."""
-    below = F.lit(-(1 << 63) + (1 << 64) // scale).cast("long")
+    """struct(whole: hash of all words, kept: ascending distinct shingle hashes, all: whether all are kept, not only those below the threshold)."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
     def of(h: Column) -> Column:
         n = F.size(h)
         short = F.when(n == 0, F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(h)))
         full = F.transform(F.slice(h, F.lit(1), n - (width - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, width))))
-        kept = F.filter(F.when(n < width, short).otherwise(full), lambda x: x < below)
-        return F.struct(F.xxhash64(h).alias("whole"), F.array_sort(F.array_distinct(kept)).alias("kept"))
+        every = n - (width - 1) <= ALL
+        kept = F.filter(F.when(n < width, short).otherwise(full), lambda x: every | (x < _below(scale)))
+        return F.struct(F.xxhash64(h).alias("whole"), F.array_sort(F.array_distinct(kept)).alias("kept"), every.alias("all"))
 
     # The one-element array gives the word hashes a name, so that they are computed once.
     return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of), F.lit(0))
@@ -47,21 +54,28 @@ def to_text(s: Column) -> Column:
     return F.concat(F.hex(s["whole"]), F.lit(":"), F.concat_ws(".", F.transform(s["kept"], lambda x: F.hex(x))))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def _common(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    """The kept hashes of both that compare: those below the threshold unless both sketches have all."""
+    return tuple(F.when(x["all"] & ~y["all"], F.filter(x["kept"], lambda h: h < _below(scale))).otherwise(x["kept"]) for x, y in ((a, b), (b, a)))
+
+
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Jaccard estimate of two sketches, 0 to 1."""
-    both = F.size(F.array_intersect(a["kept"], b["kept"]))
-    either = F.size(a["kept"]) + F.size(b["kept"]) - both
+    x, y = _common(a, b, scale)
+    both = F.size(F.array_intersect(x, y))
+    either = F.size(x) + F.size(y) - both
     return F.when(a["whole"] == b["whole"], 1.0).when(either == 0, 0.0).otherwise(both / either)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; null when a's sketch is empty."""
-    return F.when(F.size(a["kept"]) > 0, F.size(F.array_intersect(a["kept"], b["kept"])) / F.size(a["kept"]))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has; null when a has none to compare."""
+    x, y = _common(a, b, scale)
+    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
 
-def merge(kept: Column) -> Column:
-    """Union of an array of sketches' kept hashes: the sketch of all their texts together."""
-    return F.array_sort(F.array_distinct(F.flatten(kept)))
+def merge(kept: Column, scale: int = SCALE) -> Column:
+    """Union of an array of sketches' kept hashes below the threshold: the sketch of all their texts together."""
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(kept), lambda x: x < _below(scale))))
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -124,9 +138,9 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         to_text(sk).alias("fingerprint"),
         to_text(ek).alias("edited_fingerprint"),
-        likeness(sk, ek).alias("near_edited"),
-        likeness(sk, nk).alias("near_next"),
-        containment(sk, ek).alias("contained_edited"),
+        likeness(sk, ek, scale).alias("near_edited"),
+        likeness(sk, nk, scale).alias("near_next"),
+        containment(sk, ek, scale).alias("contained_edited"),
     )
 
 

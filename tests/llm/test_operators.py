@@ -200,6 +200,15 @@ def test_fingerprints(docs, none):
     assert sum(map(len, out.values())) == len(rows) and fingerprint.fingerprint_pairs(none).count() == 0
 
 
+def test_near_copies_of_short_texts_compare_exactly(spark):
+    sizes = [6, 7, 10, 20, 28, 60]
+    texts = [" ".join(f"{n}w{i}" for i in range(n)) for n in sizes]
+    df = spark.createDataFrame([(n, t, t + " more", t + " long" * 100) for n, t in zip(sizes, texts, strict=True)], "n int, a string, b string, c string")
+    a, b, c = (fingerprint.sketch(F.col(x)) for x in "abc")
+    for r in df.select("n", fingerprint.likeness(a, b).alias("j"), fingerprint.containment(a, b).alias("held"), fingerprint.containment(a, c).alias("in_long"), c["all"].alias("all")).collect():
+        assert r.j == pytest.approx((r.n - 4) / (r.n - 3)) and r.held == 1.0 and r.in_long in (None, 1.0) and not r.all
+
+
 def test_sketches_estimate_and_merge(spark):
     import xxhash
 
