@@ -54,6 +54,7 @@ class WordTable:
         self.model = Tokenizer.from_str(bare)
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces = id_to_piece(parsed)
+        self.piece_of = {str(i): p for i, p in self.pieces.items()}
         self.words: dict[str, tuple[int, str, str]] = {}
 
     def normalise(self, text: str) -> str:
@@ -90,6 +91,14 @@ def ids_of(entries: list[tuple[int, str, str]]) -> list[int]:
     return [int(i) for e in entries for i in e[1].split()]
 
 
+def digests_of(words: WordTable, text: str | None) -> tuple[int, str, str, str]:
+    """Number of ids, the ids as text, their digest, and the digest of what these ids decode to."""
+    found = words.entries(text)
+    ids = " ".join([e[1] for e in found])
+    decoded = " ".join([words.piece_of[i] for i in ids.split()])
+    return sum([e[0] for e in found]), ids, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 @lru_cache(maxsize=2)
 def _table(spec: str) -> WordTable:
     return WordTable(spec)
@@ -130,7 +139,7 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
 
 
 def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """encode() and decode() of every row as digests: key, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
+    """The ids that encode() gives, and what they decode to by the id-to-piece table, as digests: key, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
     spec = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +147,12 @@ def encode_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: st
         for b in batches:
             counts, ids, texts, numbers = [], [], [], []
             for x in b.column(1).to_pylist():
-                found = words.entries(x)
-                counts.append(sum([e[0] for e in found]))
+                n, text_ids, of_ids, of_text = digests_of(words, x)
+                counts.append(n)
                 if with_ids:
-                    numbers.append(ids_of(found))
-                ids.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
+                    numbers.append([int(i) for i in text_ids.split()])
+                ids.append(of_ids)
+                texts.append(of_text)
             cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.record_batch([*cols, pa.array(numbers, pa.list_(pa.int32()))] if with_ids else cols, names=[*names, "ids"] if with_ids else names)

@@ -469,6 +469,21 @@ def test_bpe_is_the_library(spark, docs, none):
     assert bpe_codec.encode_digests(none, spec).count() == bpe_codec.encode(none, spec).count() == 0
 
 
+def test_digests_decode_from_ids():
+    from tokenizers import Tokenizer
+
+    spec, text = queries.vocabulary(), "Some words, some more<|endoftext|> and 12 numbers"
+    words = bpe_codec.WordTable(spec)
+    words.entries(text)
+    for w, (n, ids, _) in list(words.words.items()):
+        words.words[w] = (n, ids, "not from ids")
+    library = Tokenizer.from_str(spec)
+    want = library.encode(text, add_special_tokens=False).ids
+    n, ids, _, decoded = bpe_codec.digests_of(words, text)
+    assert n == len(want) and ids == " ".join(map(str, want))
+    assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_word_table_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe_codec, "MAX_WORDS", 5)
     words = bpe_codec.WordTable(queries.vocabulary())
