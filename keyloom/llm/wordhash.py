@@ -56,6 +56,13 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = end
 
 
+def of_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each slice of a byte buffer; capital letters count as small ones."""
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * _power(_P, len(data)), dtype=np.uint64)))
+    h = (sums[ends] - sums[starts]) * _power(_P_INV, len(data) + 1)[starts]
+    return mix(h ^ (ends - starts).astype(np.uint64))
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buffer, starts and ends of words in it, word hashes, and the first word of each text (one more entry than texts)."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -72,10 +79,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     before = np.concatenate(([True], sep[:-1])) | edge[:-1]
     after = np.concatenate((sep[1:], [True])) | edge[1:]
     starts, ends = np.flatnonzero(~sep & before), np.flatnonzero(~sep & after) + 1
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * _power(_P, len(data)), dtype=np.uint64)))
-    h = (sums[ends] - sums[starts]) * _power(_P_INV, len(data) + 1)[starts]
-    h = mix(h ^ (ends - starts).astype(np.uint64))
-    return data, starts, ends, h, np.searchsorted(starts, offsets)
+    return data, starts, ends, of_slices(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe_codec, cap_dedup, class_lm, fingerprint, jaccard_join, language_id, mixing, quality, queries, toxicity, url_filter, wordhash
+from keyloom.llm import bpe_codec, cap_dedup, chunks, class_lm, fingerprint, jaccard_join, language_id, mixing, quality, queries, toxicity, url_filter, wordhash
 from keyloom.llm.common import fold, prepare
 from keyloom.llm.components import components
 
@@ -452,11 +452,17 @@ def test_bpe_is_the_library(spark, docs, none):
     library = Tokenizer.from_str(spec)
     rng = random.Random(8)
     signs = "aAbZ'sdtlm019 \t\n\x1c\x85\xa0ÉéßΣσςİıǅ日本ل́̇½²_-!?<|>​　\U0001f600ﬁ"
-    words = bpe_codec.WordTable(spec)
-    for t in ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(2000)] + ["<|startoftext|>it's<|endoftext|>", "<|ENDOFTEXT|>", "ΑΣ ΑΣ."]:
-        want = library.encode(t, add_special_tokens=False)
-        got = words.entries(t)
-        assert bpe_codec.ids_of(got) == want.ids and " ".join(e[2] for e in got) == library.decode(want.ids, skip_special_tokens=False)
+    split, encoder = bpe_codec.Splitter(spec), bpe_codec.Encoder(spec)
+    fuzz = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(2000)] + ["".join(rng.choices("'strevmldST'1!\xe9 ", k=rng.randint(0, 12))) for _ in range(3000)]
+    fuzz += ["<|startoftext|>it's<|endoftext|>", "<|ENDOFTEXT|>", "ΑΣ ΑΣ.", None, "", "'", "a'", "'l", "'ll", "!'s", "'s's", "''re"]
+    rng.shuffle(fuzz)
+    for at in (0, 100, 1000, 1003):  # steps of texts of several sizes
+        part = fuzz[at : at + 1500]
+        found, sizes = split(pa.array(["x", *part], pa.string()).slice(1))
+        words, ends = found.to_pylist(), np.concatenate(([0], np.cumsum(sizes)))
+        for t, i, j in zip(part, ends[:-1], ends[1:], strict=True):
+            got = np.frombuffer(b"".join(encoder(words[i:j])), "<i4").tolist()
+            assert got == library.encode(t or "", add_special_tokens=False).ids, t
     digests = {r.doc_id: r for r in bpe_codec.encode_digests(docs, spec).collect()}
     encoded = bpe_codec.encode(docs, spec)
     decoded = {r.doc_id: r.text for r in bpe_codec.decode(encoded, spec).collect()}
@@ -469,26 +475,29 @@ def test_bpe_is_the_library(spark, docs, none):
     assert bpe_codec.encode_digests(none, spec).count() == bpe_codec.encode(none, spec).count() == 0
 
 
-def test_digests_decode_from_ids():
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    """Over small chunks, a word of all texts is still one entry of one task's table."""
+    prepare(spark)
+    monkeypatch.setattr(chunks, "CHUNK_TOKENS", 20)
+    spec = queries.vocabulary()
+    docs = spark.createDataFrame([(i, f"shared words of all texts and one own w{i} it's <|endoftext|>") for i in range(60)], "doc_id long, text string").repartition(5)
+    library = bpe_codec.Encoder(spec).model
+    got = {r.doc_id: r.ids for r in bpe_codec.encode(docs, spec).collect()}
     from tokenizers import Tokenizer
 
-    spec, text = queries.vocabulary(), "Some words, some more<|endoftext|> and 12 numbers"
-    words = bpe_codec.WordTable(spec)
-    words.entries(text)
-    for w, (n, ids, _) in list(words.words.items()):
-        words.words[w] = (n, ids, "not from ids")
-    library = Tokenizer.from_str(spec)
-    want = library.encode(text, add_special_tokens=False).ids
-    n, ids, _, decoded = bpe_codec.digests_of(words, text)
-    assert n == len(want) and ids == " ".join(map(str, want))
-    assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    whole = Tokenizer.from_str(spec)
+    assert library.get_vocab_size() <= whole.get_vocab_size()
+    assert all(got[i] == whole.encode(t, add_special_tokens=False).ids for i, t in texts_of(docs)) and len(got) == 60
+    plan = bpe_codec.encode(docs, spec)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroupsInArrow" in plan
 
 
-def test_word_table_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe_codec, "MAX_WORDS", 5)
-    words = bpe_codec.WordTable(queries.vocabulary())
-    for t in ("a b c d", "e f g h", "a b c d e f g h i j"):
-        assert len(words.entries(t)) == len(t.split()) and len(words.words) <= max(5, len(t.split()))
+def test_decoding_skips_unknown_ids(spark):
+    prepare(spark)
+    spec = queries.vocabulary()
+    df = spark.createDataFrame([(1, [320, -5, 10**6, 321]), (2, []), (3, None)], "doc_id int, ids array<int>")
+    piece = bpe_codec.id_to_piece(__import__("json").loads(spec))
+    assert {r.doc_id: r.text for r in bpe_codec.decode(df, spec).collect()} == {1: f"{piece[320]} {piece[321]}", 2: "", 3: None}
 
 
 # 9: vectors
