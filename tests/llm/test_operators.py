@@ -433,12 +433,61 @@ def test_rare_words_are_clustered_too(spark):
     assert r[0] - r[1] > 0.25 * r[2]
 
 
-def test_model_probabilities_sum_to_one(docs):
-    model = class_lm.ClassModel(np.array([50, 30]), np.array([0, 1, *[0] * (class_lm.FREQUENT - 2), 2, *range(3, 3 + 64)]), np.log10(np.full((67, 67), 1 / 67)), np.zeros(67), 100, 10, 5, 4)
-    model.mass[[0, 1, 2, 3]] = [50, 30, 5, 4]
-    unseen, once = model.score(np.array([0]))[3], model.score(np.array([1]))[3]
-    alone = model.score(np.zeros(0, np.int64))[3]
-    assert math.isclose(10 ** (unseen - alone) * 67 + 4 * 10 ** (once - alone) * 67, 1.0)
+def words_of(text):
+    return WORDS.findall((text or "").translate(LOWER))
+
+
+def test_scores_are_those_of_the_classes(spark, monkeypatch):
+    """The model's scores from the classes it found, by brute force; the probabilities of all words after a class make one."""
+    prepare(spark)
+    monkeypatch.setattr(chunks, "CHUNK_TOKENS", 300)  # a word is in many chunks
+    kept = {}
+    cluster = class_lm._cluster
+
+    def spy(texts, words, counted, rounds):
+        state, n = cluster(texts, words, counted, rounds)
+        kept["n"] = n
+        kept["classes"] = class_lm._answers(words, state, "u1", with_counts=True).collect()
+        kept["hashes"] = words.select("bucket", "a", "c").collect()
+        return state, n
+
+    monkeypatch.setattr(class_lm, "_cluster", spy)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], [1 / (k + 1) for k in range(60)], k=rng.randint(0, 40)))) for i in range(120)] + [(1000, None), (1001, "w1 new words w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in class_lm.score_documents(docs, F.col("doc_id") < 100).collect()}
+    class_of, count_of = {}, {}
+    for r in kept["hashes"]:
+        a = next(x for x in kept["classes"] if x.place == chunks.chunk_of(r.c) and x.bucket == r.bucket)
+        for h, k, c in zip(np.cumsum(chunks.unpack(r.a, "<u8"), dtype=np.uint64), chunks.unpack(a.a, "u1"), chunks.unpack(a.b, "<i8"), strict=True):
+            class_of[int(h)], count_of[int(h)] = int(k) & 127, int(c)
+    name = {w: int(wordhash.words(pa.array([w], pa.string()))[3][0]) for _, t in rows for w in words_of(t)}
+    train = [words_of(t) for i, t in rows if i < 100]
+    counts = Counter(w for ws in train for w in ws)
+    assert all(count_of[name[w]] == counts[w] for w in name)
+    end, unseen = class_lm._END_CLASS, class_lm._UNSEEN
+    cls = {w: class_of[name[w]] if counts[w] else unseen for w in name}
+    assert all(k < class_lm.CLASSES for w, k in cls.items() if counts[w])
+    n = np.zeros_like(kept["n"])
+    for ws in train:
+        seq = [None, *ws, None]
+        for p, q in zip(seq[:-1], seq[1:], strict=True):
+            cp, cq = (end if x is None else cls[x] for x in (p, q))
+            n[cp, cq] += 1
+            n[unseen, cq] += p is not None and counts[p] == 1
+            n[cp, unseen] += q is not None and counts[q] == 1
+    assert (n == kept["n"]).all()
+    mass = n[:unseen, :unseen].sum(0)
+    logp = class_lm._transition(n)
+    for i, t in rows:
+        seq, want = [None, *words_of(t), None], 0.0
+        for p, q in zip(seq[:-1], seq[1:], strict=True):
+            cp, cq = (end if x is None else cls[x] for x in (p, q))
+            want += logp[cp, cq] + (0 if q is None or not counts[q] else math.log10(counts[q] / mass[cq]))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9)
+    for k in {*cls.values(), end, unseen}:
+        total = sum(10 ** logp[k, cls[w]] * counts[w] / mass[cls[w]] for w in counts) + 10 ** logp[k, end] + 10 ** logp[k, unseen]
+        assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
 # 8: BPE
