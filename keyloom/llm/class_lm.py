@@ -43,6 +43,8 @@ ROUNDS = 5
 #: Weight of a class's own frequency against what follows the class before it.
 PRIOR = 20.0
 _LEVELS = 63
+#: Finer levels of counts for each power of two, to find the frequent words.
+_FINE = 4
 #: Items of a bigram: the frequent words, the end of a text, and a class for each power of two.
 _END, _RARE = FREQUENT, FREQUENT + 1
 _ITEMS = FREQUENT + 1 + _LEVELS
@@ -92,7 +94,7 @@ class _Bucket:
 
 
 def _count(words: DataFrame) -> DataFrame:
-    """Training counts of the words of each bucket, how many words and tokens that makes, and the most frequent ones."""
+    """Training counts of the words of each bucket, how many words and tokens that makes, the most frequent ones, and how many words there are of each level."""
 
     def run(rows: pa.Table) -> pa.Table:
         b = _Bucket(rows)
@@ -101,10 +103,25 @@ def _count(words: DataFrame) -> DataFrame:
         top = np.lexsort((h, -counts))[:FREQUENT]
         top = top[counts[top] > 0]
         best = [{"h": int(h[i]), "n": int(counts[i])} for i in top]
-        row = {"place": rows["place"][0].as_py(), "bucket": rows["bucket"][0].as_py(), "a": chunks.pack(counts, "<i8"), "v": int((counts > 0).sum()), "n": int(counts.sum()), "top": best}
-        return pa.Table.from_pylist([row], schema=pa.schema([("place", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("v", pa.int64()), ("n", pa.int64()), ("top", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))]))
+        row = {"place": rows["place"][0].as_py(), "bucket": rows["bucket"][0].as_py(), "a": chunks.pack(counts, "<i8"), "v": int((counts > 0).sum()), "n": int(counts.sum()), "top": best, "levels": np.bincount(_level(counts[counts > 0]), minlength=_FINE * _LEVELS).tolist()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("place", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("v", pa.int64()), ("n", pa.int64()), ("top", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))), ("levels", pa.list_(pa.int64()))]))
 
-    return words.groupBy("place").applyInArrow(run, "place long, bucket int, a binary, v long, n long, top array<struct<h:long,n:long>>")
+    return words.groupBy("place").applyInArrow(run, "place long, bucket int, a binary, v long, n long, top array<struct<h:long,n:long>>, levels array<long>")
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts by their logarithm, in steps of 1 / _FINE of a power of two."""
+    return (np.log2(counts.astype(float)) * _FINE).astype(np.int64)
+
+
+def _frequent(counted: DataFrame) -> list[int]:
+    """Hashes of the FREQUENT top words, by rank.  Only words of the levels that they come from are sorted."""
+    sums = counted.agg(*[F.sum(F.get("levels", F.lit(i))).alias(f"n{i}") for i in range(_FINE * _LEVELS)]).first()
+    above = np.cumsum([n or 0 for n in sums][::-1])[::-1]
+    least = max(np.flatnonzero(above >= min(FREQUENT, above[0])).max(initial=0), 0)
+    low = 2 ** (float(least) / _FINE) * (1 - 1e-9)
+    top = counted.select(F.explode(F.filter("top", lambda x: x["n"] >= low)).alias("t")).select("t.*")
+    return [r.h for r in top.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
 
 
 def _state(place: int, bucket: int, counts: bytes, codes: np.ndarray, kind: str) -> pa.Table:
@@ -444,8 +461,7 @@ def _free_shuffles(df: DataFrame) -> None:
 
 def _cluster(texts: DataFrame, words: DataFrame, counted: DataFrame, rounds: int) -> tuple[DataFrame, np.ndarray]:
     """State (counts and classes of all words) and the class bigrams."""
-    top = counted.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    items = materialize(_items(words, counted, [r.h for r in top]), "lm-items")
+    items = materialize(_items(words, counted, _frequent(counted)), "lm-items")
     cls = exchange(_bigrams(texts, _answers(words, items, "<i2")), FREQUENT, CLASSES).astype(np.uint8)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
