@@ -18,11 +18,14 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def merge_slices(pushes: DataFrame, key: str) -> DataFrame:
+def sum_parts(width: int, part: str = "part") -> str:
+    """SQL of the element-wise sum of parts of at most ``width`` entries: a sum for each entry, so parts are added before the shuffle."""
+    return f"filter(array({', '.join(f'sum(get(`{part}`, {i}))' for i in range(width))}), x -> x is not null)"
+
+
+def merge_slices(pushes: DataFrame, key: str, width: int) -> DataFrame:
     """Element-wise sum of all pushed parts of each slice."""
-    long = pushes.select(key, "slice_id", F.posexplode("part").alias("i", "x"))
-    summed = long.groupBy(key, "slice_id", "i").agg(F.sum("x").alias("x"))
-    return summed.groupBy(key, "slice_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("part"))
+    return pushes.groupBy(key, "slice_id").agg(F.expr(sum_parts(width)).alias("part"))
 
 
 def upsert_slices(base: DataFrame, pushed: DataFrame, key: str) -> DataFrame:

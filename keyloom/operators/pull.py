@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def pull(table: DataFrame, request: DataFrame, keys: list[str], defaults: Mappin
     return out.select(*request.columns, *[F.when(F.col("__hit"), F.col(f"__{v}")).otherwise(F.expr(d)).alias(v) for v, d in defaults.items()])
 
 
+def packages(requests: Sequence[DataFrame]) -> DataFrame:
+    """Several requests as one, with pkg_id: the number of the request."""
+    return reduce(DataFrame.unionByName, [r.withColumn("pkg_id", F.lit(i)) for i, r in enumerate(requests)])
+
+
 def missing(table: DataFrame, request: DataFrame, keys: list[str], defaults: Mapping[str, str]) -> DataFrame:
     """Rows that a pull with insert-on-miss adds: requested keys that the table lacks, with default values."""
     return request.select(*keys).distinct().join(table, keys, "left_anti").select(*keys, *[F.expr(d).alias(v) for v, d in defaults.items()])

@@ -25,20 +25,38 @@ def fold(pending: DataFrame, keys: list[str], merge: MergeSpec) -> DataFrame:
     return pending.groupBy(*keys).agg(*[F.expr(merge.merge_of(c)).alias(c) for c in merge.combine])
 
 
-def upsert(base: DataFrame, pushed: DataFrame, keys: list[str], values: list[str], merge: MergeSpec) -> DataFrame:
-    """The stored rows after a combined push: init for new keys that are accepted, store for known ones, others unchanged."""
-    b = base.select(*keys, *values).withColumn("__b", F.lit(True)).alias("base")
+def upsert(base: DataFrame, pushed: DataFrame, keys: list[str], values: list[str], merge: MergeSpec, carried: list[str] | None = None) -> DataFrame:
+    """The stored rows after a combined push: init for new keys that are accepted, store for known ones, others unchanged.
+
+    ``carried`` columns depend on the key only and are taken from either side.
+    """
+    carried = carried or []
+    b = base.select(*keys, *values, *carried).withColumn("__b", F.lit(True)).alias("base")
     p = pushed.withColumn("__p", F.lit(True)).alias("push")
     joined = b.join(p, [F.col(f"base.{k}").eqNullSafe(F.col(f"push.{k}")) for k in keys], "full_outer")
     joined = joined.where(F.col("__b").isNotNull() | F.expr(merge.accept))
     new, untouched = F.col("__b").isNull(), F.col("__p").isNull()
-    key_cols = [F.when(new, F.col(f"push.{k}")).otherwise(F.col(f"base.{k}")).alias(k) for k in keys]
+    key_cols = [F.when(new, F.col(f"push.{k}")).otherwise(F.col(f"base.{k}")).alias(k) for k in [*keys, *carried]]
     kinds = {f.name: f.dataType for f in base.schema}
     value_cols = [
         F.when(new, F.expr(merge.init_of(v))).when(untouched, F.col(f"base.{v}")).otherwise(F.expr(merge.store_of(v))).cast(kinds[v]).alias(v)
         for v in values
     ]
-    return joined.select(*key_cols, *value_cols)
+    return joined.select(*key_cols[: len(keys)], *value_cols, *key_cols[len(keys) :])
+
+
+def upsert_small(base: DataFrame, pushed: DataFrame, keys: list[str], values: list[str], merge: MergeSpec, carried: list[str]) -> DataFrame:
+    """The same for a push that the caller knows to be small: it is broadcast, and stored rows stay where they are."""
+    kinds = {f.name: f.dataType for f in base.schema}
+    on = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in keys]
+    p = F.broadcast(pushed.withColumn("__p", F.lit(True))).alias("push")
+    stored = base.select(*keys, *values, *carried).alias("base").join(p, on("base", "push"), "left")
+    store = [F.when(F.col("__p"), F.expr(merge.store_of(v))).otherwise(F.col(f"base.{v}")).cast(kinds[v]).alias(v) for v in values]
+    stored = stored.select(*[F.col(f"base.{k}") for k in keys], *store, *[F.col(f"base.{c}") for c in carried])
+    # At most as many keys as the push has.
+    known = base.select(*keys).alias("base").join(F.broadcast(pushed.select(*keys)).alias("push"), on("base", "push"), "left_semi").alias("known")
+    new = pushed.alias("push").join(F.broadcast(known), on("push", "known"), "left_anti").where(F.expr(merge.accept))
+    return stored.unionByName(new.select(*keys, *[F.expr(merge.init_of(v)).cast(kinds[v]).alias(v) for v in values], *carried))
 
 
 def overwrite(base: DataFrame, rows: DataFrame, keys: list[str], values: list[str], seq: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ class TableSpec:
             raise ValueError("a table needs keys, and values with other names")
         if self.shards < 1 or self.replicas < 1:
             raise ValueError("shards and replicas are at least 1")
-        if reserved := {"shard_id"} & (set(self.keys) | set(self.values)):
+        if reserved := {"shard_id", "in_shard"} & (set(self.keys) | set(self.values)):
             raise ValueError(f"reserved column names: {reserved}")
 
     def to_dict(self) -> dict:

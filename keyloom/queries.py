@@ -16,9 +16,10 @@ from .operators import dense, feed, layout, pull, push, scan
 from .operators.spec import MergeSpec, TableSpec, last_wins, sum_count
 from .operators.udf import UserOperator
 from .plans import files
+from .plans.dense_table import DenseTable
 from .plans.model import Model
 from .plans.ship import ship
-from .plans.table import StateTable
+from .plans.table import StateTable, list_tables
 from .sources import io
 from .streaming.push_stream import SyncFeed, push_stream
 
@@ -34,7 +35,7 @@ DEFAULTS = {"sum": "cast(0 as bigint)", "count": "cast(0 as bigint)"}
 C = "cast(round(value * 100) as bigint)"
 STATE = f"select user_id, sum({C})::bigint as sum, count(*)::bigint as count from events group by user_id"
 EVEN = STATE.replace("from events", "from events where event_id % 2 = 0")
-REQUEST = "select c_custkey as pos, c_custkey % 200 as user_id from customer"
+REQUEST = "select c_custkey as pos, c_custkey as user_id from customer union all select -o_orderkey, o_custkey from orders"
 #: Jump consistent hash of a column k into n buckets, as a recursive query over table src(k, n).
 JUMP = """j as (
   select k, n, k::hugeint as s, -1::bigint as b, 0::bigint as p from src
@@ -78,8 +79,9 @@ def _even_odd(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _request(spark: SparkSession, d: str) -> DataFrame:
-    """Keys with duplicates and misses: customers asking for users 0 to 199."""
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") % 200).alias("user_id"))
+    """Keys with duplicates and misses: each customer's number once, and again for each of its orders; a tenth of them are users."""
+    once = _t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("user_id"))
+    return once.unionByName(_t(spark, d, "orders").select((-F.col("o_orderkey")).alias("pos"), F.col("o_custkey").alias("user_id")))
 
 
 def _table(spark: SparkSession, tag: str, spec: TableSpec = SPEC, merge: MergeSpec | None = MERGE) -> StateTable:
@@ -129,8 +131,7 @@ def push_sync_store(spark, d):
 def push_direct_last_wins(spark, d):
     e = _events(spark, d).select("user_id", "event_type", "event_id")
     base = push.combine(e.where("event_id % 2 = 0"), KEYS, last_wins(["event_type"], "event_id")).drop("__seq")
-    newest = e.groupBy("user_id").agg(F.max("event_id").alias("m"))
-    return push.overwrite(base, e.join(newest, "user_id").where("event_id = m"), KEYS, ["event_type"], "event_id")
+    return push.overwrite(base, e, KEYS, ["event_type"], "event_id")
 
 
 @query(f"select user_id, min({C}) as low, max({C}) as high from events group by user_id")
@@ -234,6 +235,12 @@ def pull_native_broadcast(spark, d):
     return pull.pull(_state(_events(spark, d)), _request(spark, d), KEYS, DEFAULTS, small=True)
 
 
+@query(f"with s as ({STATE}), r as (select 0 as pkg_id, user_id from ({REQUEST}) union all select 1, l_suppkey from lineitem) select r.pkg_id::int as pkg_id, r.user_id, coalesce(s.sum, 0)::bigint as sum from r left join s on r.user_id = s.user_id")
+def pull_packages(spark, d):
+    suppliers = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("user_id"))
+    return _table(spark, "packages").push(_events(spark, d)).pull_packages([_request(spark, d).select("user_id"), suppliers], {"sum": DEFAULTS["sum"]})
+
+
 # Dense
 
 
@@ -246,7 +253,36 @@ def dense_push_slices(spark, d):
 def dense_push_merge(spark, d):
     v = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 1024).cast("bigint")).alias("vec"))
     one = dense.slices(v, "vec_id", "vec", 5)
-    return dense.upsert_slices(one, dense.merge_slices(one.unionByName(one), "vec_id"), "vec_id")
+    return dense.upsert_slices(one, dense.merge_slices(one.unionByName(one), "vec_id", 5), "vec_id")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: F.floor(x * 1024).cast("bigint")).alias("vector"))
+
+
+def _dense(spark: SparkSession, tag: str) -> DenseTable:
+    return DenseTable.create(spark, files.scratch(spark, tag), 5)
+
+
+WHOLE = "list_transform(embedding, lambda x: floor(x * 1024)::bigint)"
+
+
+@query(f"select vec_id as key, list_transform({WHOLE}, lambda x: x * 2) as vector from embeddings")
+def dense_async_push(spark, d):
+    v = _vectors(spark, d)
+    return _dense(spark, "dense-async").push(v).push(v).pull(v, F.lit(13))
+
+
+@query(f"select vec_id as key, {WHOLE} as vector from embeddings")
+def dense_sync_not_visible(spark, d):
+    v = _vectors(spark, d)
+    return _dense(spark, "dense-sync").push(v).push(v, mode="sync").pull(v, F.lit(13))
+
+
+@query(f"select vec_id as key, list_transform({WHOLE}, lambda x: x * 4) as vector from embeddings")
+def dense_sync_store(spark, d):
+    v = _vectors(spark, d)
+    return _dense(spark, "dense-store").push(v).push(v, mode="sync").push(v.unionByName(v), mode="sync").store().pull(v, F.lit(13))
 
 
 @query("select vec_id, embedding as vector from embeddings")
@@ -311,10 +347,29 @@ def clear_storage(spark, d):
 # Files
 
 
-@query(f"select n::int as node_id, s::int as shard_id, (s % 2)::int as file_id from unnest(range(0, {NODES})) a(n), unnest(range(0, {SHARDS})) b(s) where n = s % {NODES} or n = (s + 1) % {NODES}")
+#: Nodes are regions and shards nations, wherever a layout is asked for.
+RING = "select ((n_nationkey + i) % (select count(*) from region))::int as node_id, n_nationkey::int as shard_id from nation, unnest(range(0, 2)) t(i)"
+
+
+def _nodes(spark: SparkSession, d: str) -> list[int]:
+    return sorted(r.n for r in _t(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("n")).collect())
+
+
+def _ring(spark: SparkSession, d: str) -> layout.Layout:
+    """Every nation's shard on two nodes, one behind the other."""
+    n = len(_nodes(spark, d))
+    copies = _t(spark, d, "nation").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    return layout.from_frame(copies.select(F.expr(f"cast((n_nationkey + i) % {n} as int)").alias("node_id"), F.col("n_nationkey").cast("int").alias("shard_id")))
+
+
+def _homes(spark: SparkSession, d: str) -> layout.Layout:
+    """Every nation's shard on its region's node."""
+    return layout.from_frame(_t(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("node_id"), F.col("n_nationkey").cast("int").alias("shard_id")))
+
+
+@query(f"select node_id, shard_id, (shard_id % 2)::int as file_id from ({RING})")
 def dump_file_plan(spark, d):
-    rows = {n: [s for s in range(SHARDS) if n in (s % NODES, (s + 1) % NODES)] for n in range(NODES)}
-    return io.file_plan(layout.frame(spark, rows), 2)
+    return io.file_plan(layout.frame(spark, _ring(spark, d)), 2)
 
 
 def _roundtrip(fmt: str, compression: str | None = None):
@@ -396,48 +451,86 @@ def reshard_purged(spark, d):
     return _table(spark, "purge").push(_events(spark, d)).begin_reshard().purge().df().drop("shard_id")
 
 
-@query(f"select (s % {NODES})::int as node_id, s::int as shard_id from unnest(range(0, {SHARDS})) t(s) union all select ((s + 1) % {NODES})::int, s::int from unnest(range(0, {SHARDS})) t(s)")
+@query(RING)
 def replica_layout(spark, d):
-    rows = {n: [s for s in range(SHARDS) if n in (s % NODES, (s + 1) % NODES)] for n in range(NODES)}
-    return layout.frame(spark, rows)
+    return layout.frame(spark, _ring(spark, d))
 
 
-@query("select n::int as node_id, s::int as shard_id from (values (0, 0), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (0, 3), (1, 3)) t(n, s)")
+@query("select ((2 * n_nationkey + i) % (select count(*) from region))::int as node_id, n_nationkey::int as shard_id from nation, unnest(range(0, 2)) t(i)")
 def place_least_loaded(spark, d):
-    return layout.frame(spark, layout.place([0, 1, 2], 4, 2))
+    return layout.frame(spark, layout.place(_nodes(spark, d), _t(spark, d, "nation").count(), 2))
 
 
-@query("select n::int as node_id, s::int as shard_id from (values (0, 0), (0, 1), (1, 2), (1, 3), (2, 4), (2, 5)) t(n, s)")
+@query("select ((n_nationkey % (select count(*) - 1 from region)) + 1)::int as node_id, n_nationkey::int as shard_id from nation")
+def place_running_first(spark, d):
+    """The first node is dead, so none of the shards goes there."""
+    return layout.frame(spark, layout.place(_nodes(spark, d), _t(spark, d, "nation").count(), 1, status={_nodes(spark, d)[0]: "DEAD"}))
+
+
+@query("""with s as (select n_regionkey::int as node_id, n_nationkey::int as shard_id from nation), e as (select count(*) // count(distinct node_id) as each, max(shard_id) + 1 as top from s)
+select * from s union all select (100 + n)::int, (top + n * each + i)::int from e, unnest(range(0, 2)) a(n), lateral (select unnest(range(0, each)) as i) b""")
 def place_expand(spark, d):
-    return layout.frame(spark, layout.expand({0: [0, 1], 1: [2, 3]}, [2]))
+    return layout.frame(spark, layout.expand(_homes(spark, d), [100, 101]))
 
 
-@query("select n::int as node_id, s::int as shard_id from (values (0, 0), (1, 1), (0, 2), (1, 0), (0, 1), (1, 2)) t(n, s)")
+@query("select (n_nationkey % (select count(*) from region))::int as node_id, n_nationkey::int as shard_id from nation")
 def place_replica_change(spark, d):
-    return layout.frame(spark, layout.change_replicas({0: [0, 2], 1: [1]}, 2))
+    """From two copies of each shard to one: the fuller node gives its copy up."""
+    return layout.frame(spark, layout.change_replicas(_ring(spark, d), 1))
 
 
-@query("select n::int as node_id, s::int as shard_id from (values (0, 0), (1, 1), (0, 2), (1, 3)) t(n, s)")
+@query("select (s % (select count(*) from region))::int as node_id, s::int as shard_id from unnest(range(0, (select 2 * count(*) from nation))) t(s)")
 def place_shard_change(spark, d):
-    return layout.frame(spark, layout.change_shards({0: [0], 1: [1]}, 4, 1))
+    """Twice as many shards: the new ones go round the nodes."""
+    start = layout.place(_nodes(spark, d), _t(spark, d, "nation").count(), 1)
+    return layout.frame(spark, layout.change_shards(start, 2 * _t(spark, d, "nation").count(), 1))
 
 
-@query("select n::int as node_id, s::int as shard_id from (values (0, 0), (1, 1), (0, 2), (1, 3)) t(n, s)")
+@query("select (n_nationkey % (select count(*) from region))::int as node_id, n_nationkey::int as shard_id from nation")
 def place_balance(spark, d):
-    return layout.frame(spark, layout.balance({0: [0, 1, 2, 3], 1: []}, 4, 1))
+    """Shards by region, placed anew."""
+    return layout.frame(spark, layout.balance(_homes(spark, d), _t(spark, d, "nation").count(), 1))
 
 
-@query("select s::int as shard_id, c::bigint as replicas from (values (0, 1), (1, 1), (2, 0), (3, 2)) t(s, c)")
+@query(f"with l as ({RING}) select n_nationkey::int as shard_id, (select count(*) from l where l.shard_id = n_nationkey and node_id not in (0, 1))::bigint as replicas from nation")
 def node_failover(spark, d):
-    before = {0: [0, 2], 1: [1, 3], 2: [3, 0], 3: [1]}
-    left, _ = layout.fail(before, {0, 3})
+    before = _ring(spark, d)
+    left, _ = layout.fail(before, {0, 1})
     shards = layout.frame(spark, before).select("shard_id").distinct()
     return shards.join(layout.frame(spark, left), "shard_id", "left").groupBy("shard_id").agg(F.count("node_id").alias("replicas"))
 
 
-@query("select n::int as node_id, s::int as shard_id from (values (9, 0), (9, 2), (1, 1)) t(n, s)")
+@query("select (case when n_regionkey = 0 then 9 else n_regionkey end)::int as node_id, n_nationkey::int as shard_id from nation")
 def node_replace(spark, d):
-    return layout.frame(spark, layout.replace({0: [0, 2], 1: [1]}, 0, 9))
+    return layout.frame(spark, layout.replace(_homes(spark, d), 0, 9))
+
+
+@query("select n_nationkey::int as shard_id, list_filter(list_sort([(n_nationkey % 5)::int, ((n_nationkey + 1) % 5)::int]), lambda x: x not in (0, 1)) as nodes from nation")
+def serving_map(spark, d):
+    """Which running nodes serve each shard; a shard whose nodes are both down has an empty list."""
+    t = StateTable.create(spark, files.scratch(spark, "serving"), TableSpec(SPEC.keys, SPEC.values, _t(spark, d, "nation").count()), MERGE, _ring(spark, d))
+    return t.set_node_status({0: "DEAD", 1: "LOADING"}).shard_map()
+
+
+@query("select n_regionkey::int as node_id, case when n_regionkey = 2 then 'DEAD' else 'RUNNING' end as status, count(*)::int as shards from nation group by 1, 2")
+def show_nodes(spark, d):
+    return layout.show_nodes(spark, _homes(spark, d), {2: "DEAD"})
+
+
+@query(f"select 'users' as table_name, 3::bigint as version, 'NORMAL' as status, {SHARDS}::int as shards, 1::int as pending, (select count(distinct user_id % {SHARDS}) from events where event_id % 2 = 0)::int as stored_shards union all select 'empty', 0, 'NORMAL', 2, 0, 0")
+def show_tables(spark, d):
+    folder, e = files.scratch(spark, "tables"), _events(spark, d)
+    users = StateTable.create(spark, f"{folder}/users", TableSpec(SPEC.keys, SPEC.values, SHARDS, "pmod(user_id, {n})"), MERGE).push(e.where("event_id % 2 = 0"))
+    users.push(e.where("event_id % 2 = 1"), mode="sync").set_uri("file:/model")
+    StateTable.create(spark, f"{folder}/empty", TableSpec(SPEC.keys, SPEC.values, 2), MERGE)
+    return list_tables(spark, folder)
+
+
+@query(STATE)
+def registered_reshard(spark, d):
+    """The operator kept in the catalog under update_ctx, found and run by a later reader."""
+    t = _table(spark, "registered").push(_events(spark, d)).register("update_ctx", {"library": "core", "operator": "reshard", "config": {"shards": 12}})
+    return t.refresh().update_table().df().drop("shard_id")
 
 
 # Sync, streams, user operators, models
@@ -472,6 +565,29 @@ def sync_feed(spark, d):
     return link.target.df().drop("shard_id")
 
 
+@query(f"with s as ({STATE}), a as ({EVEN}) select 'first' as target, * from s union all select 'second', * from s where user_id in (select user_id from events where event_id % 2 = 1) union all select 'third', * from a")
+def sync_targets(spark, d):
+    """Three targets of one table: from its beginning, from the second push on, and one that is removed before the second push."""
+    e = _events(spark, d)
+    source = _table(spark, "sync-source")
+    targets = {n: _table(spark, f"sync-{n}") for n in ("first", "second", "third")}
+    source = source.add_sync("first", targets["first"].root).add_sync("third", targets["third"].root).push(e.where("event_id % 2 = 0"))
+    source = source.notify_sync().remove_sync("third").add_sync("second", targets["second"].root).push(e.where("event_id % 2 = 1"))
+    source.notify_sync().notify_sync()
+    return push.packages(*[t.refresh().df().drop("shard_id").select(F.lit(n).alias("target"), "*") for n, t in targets.items()])
+
+
+@query(f"select user_id, 2 * sum({C})::bigint as sum, 2 * count(*)::bigint as count from events group by user_id")
+def stream_push_twice(spark, d):
+    """Two streams, each with a checkpoint of its own, into one table: every batch of both arrives."""
+    t = _table(spark, "streams")
+    static = spark.read.parquet(f"{d}/events.parquet")
+    for i in (1, 2):
+        stream = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet*")
+        push_stream(stream.select("user_id", F.round(F.col("value") * 100).cast("bigint").alias("arg")), t, files.scratch(spark, f"streams-{i}")).awaitTermination()
+    return t.refresh().df().drop("shard_id")
+
+
 @query(STATE)
 def stream_push(spark, d):
     t = _table(spark, "stream")
@@ -491,6 +607,23 @@ def udf_top_per_shard(spark, d):
     return UserOperator("shard_id int, user_id long, sum long", top).call(state)
 
 
+@query(f"with s as (select *, user_id % {SHARDS} as shard from ({STATE})) select sum(sum)::bigint as sum, count(*)::bigint as num, 25::int as least from s where count >= 25")
+def udf_with_request(spark, d):
+    """A parameter becomes the request that every shard gets; shards answer with partial sums, which are gathered with the call's state."""
+    import pandas as pd
+
+    def partial(rows, request):
+        rows = rows[rows["count"] >= request["least"]]
+        return pd.DataFrame({"sum": [int(rows["sum"].sum())], "num": [len(rows)]})
+
+    op = UserOperator(
+        "sum long, num long", partial, create_state=dict, generate=lambda least, state: state.update(least=least) or {"least": least},
+        gather=lambda rows, state: rows.agg(F.sum("sum").alias("sum"), F.sum("num").alias("num")).withColumn("least", F.lit(state["least"])),
+    )
+    state = _state(_events(spark, d)).withColumn("shard_id", F.pmod("user_id", F.lit(SHARDS)).cast("int"))
+    return op.prepare(25).send(state).wait()
+
+
 @query("select m as model, t as table_name, p as placement from (values ('ctr', 'users', 'remote'), ('ctr/wide', 'crosses', 'local'), ('ctr/deep', 'embeddings', 'remote')) x(m, t, p)")
 def model_catalog(spark, d):
     deep = Model("deep", {"embeddings": "remote"}, {"pull_embeddings": "embeddings"})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from keyloom.functions.partition import jump_buckets
 from keyloom.operators import dense, layout, pull, push, scan
 from keyloom.operators.spec import MergeSpec, Registry, TableSpec, last_wins, sum_count
+from keyloom.plans import files
+from keyloom.plans.dense_table import DenseTable
 from keyloom.plans.model import Model
 from keyloom.plans.table import StaleVersion, StateTable, Unavailable
 from keyloom.sources import io
@@ -155,7 +157,7 @@ def test_dense_slices(spark):
     v = spark.createDataFrame([(i, list(range(i, i + i))) for i in range(12)], "id int, vec array<bigint>")
     s = dense.slices(v, "id", "vec", 5)
     assert s.where("id = 0").count() == 0 and s.where("id = 11").count() == 3
-    three = dense.upsert_slices(s, dense.merge_slices(s.unionByName(s), "id"), "id")
+    three = dense.upsert_slices(s, dense.merge_slices(s.unionByName(s), "id", 5), "id")
     assert {r.id: r.vector for r in dense.gather(three, "id").collect()} == {i: [3 * x for x in range(i, i + i)] for i in range(1, 12)}
     with pytest.raises(Exception, match="missing slice"):
         dense.gather(s.where("slice_id <> 1 or id <> 11"), "id").collect()
@@ -235,3 +237,92 @@ def test_registry_and_models():
         TableSpec({"k": "int"}, {"k": "int"})
     with pytest.raises(ValueError):
         io.dump(None, "x", "avro")
+
+
+def test_two_streams_into_one_table(spark, table, tmp_path):
+    spark.range(10).select((F.col("id") % 3).alias("key"), F.col("id").alias("arg")).write.parquet(f"{tmp_path}/in")
+    for cp in ("one", "two", "one"):  # the third delivers nothing new
+        push_stream(spark.readStream.schema("key long, arg long").parquet(f"{tmp_path}/in"), table, f"{tmp_path}/{cp}").awaitTermination()
+    assert table.refresh().for_each({"n": "sum(count)"}).first().n == 20
+
+
+def test_a_writer_that_dies_leaves_the_table_readable(spark, table):
+    """It dies between creating the catalog file and giving it its name."""
+    before = table.push(items(spark, 1))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{before.root}/_catalog/.v{before.version + 1:012d}.json-dead")
+    fs, _ = files._fs(spark, before.root)
+    fs.create(path, False).close()  # what is left behind
+    assert StateTable.open(spark, before.root).version == before.version
+    after = before.set_uri("file:///x")
+    assert StateTable.open(spark, before.root).version == after.version == before.version + 1
+
+
+def test_commits_are_exclusive_and_retried(spark, table):
+    assert files.create_text(spark, f"{table.root}/name", "a") and not files.create_text(spark, f"{table.root}/name", "b")
+    assert files.read_text(spark, f"{table.root}/name") == "a"
+    assert not [n for n in files.names(spark, table.root) if n.startswith(".name")]
+    stale = table
+    table.set_uri("file:///a")
+    with pytest.raises(StaleVersion):
+        stale.push(items(spark, 1))
+    assert stale.retrying(lambda t: t.push(items(spark, 1))).meta["uri"] == "file:///a"
+    with pytest.raises(StaleVersion):
+        table.retrying(lambda t: stale.set_uri("file:///b"), attempts=2)
+
+
+def test_stored_rows_are_not_shuffled_by_a_small_push(spark, table, monkeypatch):
+    from keyloom.plans import table as module
+
+    t = table.push(items(spark, 3))
+    logged = spark.read.parquet(f"{t.root}/{t.meta['log'][0]['dir']}")
+    small = push.upsert_small(t.df(), logged, t.keys, t.values, t.merge, ["shard_id"])
+    assert "Exchange hashpartitioning" not in small._jdf.queryExecution().executedPlan().toString()
+    once = sorted(map(str, t.push(items(spark, 2)).df().collect()))
+    monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    other = StateTable.create(spark, t.root + "-other", t.spec, t.merge).push(items(spark, 3)).push(items(spark, 2))
+    assert once == sorted(map(str, other.df().collect()))
+
+
+def test_log_is_trimmed_behind_its_readers(spark, table, tmp_path):
+    target = StateTable.create(spark, f"{tmp_path}/sync-target", table.spec, table.merge)
+    t = table.add_sync("copy", target.root)
+    for n in (1, 2):
+        t = t.push(items(spark, n))
+    assert len(t.trim_log().meta["log"]) == 2  # the target has none of them
+    t = t.refresh().notify_sync().trim_log()
+    assert not t.meta["log"] and t.meta["floor"] == t.sync_targets()["copy"]["cursor"]
+    with pytest.raises(ValueError):
+        t.changes(0)
+    assert any(d.startswith("log/") for d in t.collect_garbage())
+    assert sorted(map(str, target.refresh().df().collect())) == sorted(map(str, t.df().collect()))
+    with pytest.raises(ValueError):
+        t.add_sync("copy", target.root)
+
+
+def test_dense_table(spark, tmp_path):
+    t = DenseTable.create(spark, f"{tmp_path}/dense", 3)
+    v = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [5])], "key long, vector array<long>")
+    t = t.push(v).push(v, mode="sync").push(v.unionByName(v), mode="sync")
+    assert {r.key: r.vector for r in t.pull(v).collect()} == {1: [1, 2, 3, 4], 2: [5]}
+    t = t.store()
+    assert {r.key: r.vector for r in t.pull(v).collect()} == {1: [4, 8, 12, 16], 2: [20]}
+    with pytest.raises(Exception, match="no vector of key 9"):
+        t.pull(spark.createDataFrame([(9,)], "key long")).collect()
+    with pytest.raises(Exception, match="missing slice"):
+        t.pull(v, F.lit(2)).collect()
+    with pytest.raises(NotImplementedError):
+        t.changes(0)
+
+
+def test_node_status_and_registered_operators(spark, table):
+    t = table.set_layout({0: [0, 1], 1: [1], 2: [2]}).set_node_status({1: "DEAD"})
+    found = {r.shard_id: r.nodes for r in t.shard_map().collect()}
+    assert found[0] == [0] and found[1] == [0] and found[2] == [2] and found[3] == []
+    with pytest.raises(ValueError):
+        t.set_node_status({1: "ASLEEP"})
+    assert 1 not in [n for n, s in layout.place([0, 1, 2], 4, 1, status={1: "DEAD"}).items() if s]
+    assert layout.place([0, 1], 1, 2, status={1: "DEAD"}) == {0: [0], 1: [0]}  # running ones first, not only
+    t = t.push(items(spark, 2)).register("clean", {"library": "core", "operator": "erase_if", "config": {"predicate": "true"}})
+    assert StateTable.open(spark, t.root).call("clean").df().count() == 0
+    with pytest.raises(KeyError):
+        t.call("unknown")
