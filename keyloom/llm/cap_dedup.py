@@ -5,21 +5,25 @@ the unit codewords of one codebook each, and a pair of codewords is a filter of
 products exceeds a threshold.  The pairs are list-decoded from the sorted inner products, without looking at all products.
 Vectors that share a filter and a label are compared in double precision; a pair is counted in the first filter it shares.
 
-The threshold is set so that about ``FILTERS`` directions take a vector; one that fewer than ``LEAST`` take gets its best
-``LEAST``.  Directions grow with the number of vectors, so lists stay short.  Lists longer than ``BLOCK`` are cut into
-blocks, and each pair of blocks is a task's work of its own.  Equal vectors with equal labels are compared once.
+The threshold is set so that about ``FILTERS`` directions take a vector, measured on random vectors of the same dimension; one
+that fewer than ``LEAST`` take gets its best ``LEAST``.  Directions grow with the number of vectors, so lists stay short, but
+only as far as their caps stay twice as wide as a link, which matters up to some 30 dimensions.  In ``FEW`` dimensions or less
+caps can't be both, and the filters are cells of the first coordinates instead: a vector takes every cell that a vector linked
+with it may lie in, so no link is lost.  Lists longer than ``BLOCK`` are cut into blocks, and each pair of blocks is a task's
+work of its own: the number of links asks for every pair of a group of near copies, in matrix products of blocks.  Equal vectors
+with equal labels are compared once.
 
 Links need equal labels that are not null.  Vectors that are null, zero, empty or hold null, NaN or infinity link with
 nothing; vectors of different length don't link.  Rows with one id are all counted as vectors.  A null id is kept as a row with
-a null component.  Empty tables give empty results.  Only id, vector and label are read.
+a null component.  Ids may be of any type that sorts, components have it too.  Empty tables give empty results.  Only id, vector and label are read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,34 +38,67 @@ LEAST = 8
 #: Codewords of each codebook at least; directions are their square.
 CODES = 256
 BLOCK = 1024
+#: Up to so many dimensions filters are cells, of so many coordinates at most.
+FEW, CELL_COORDINATES = 12, 5
+#: Sine of the least angle of a cap: over twice the angle of the default link.
+CAP_SINE = math.sin(math.radians(25))
 #: Inner products with a codebook that are held at once: codebooks grow with the table, memory doesn't.
 STEP_PRODUCTS = 1 << 20
 
 
+def codes_of(dim: int, codes: int) -> int:
+    """Codewords of each codebook: a cap that takes FILTERS of all directions keeps an angle of CAP_SINE."""
+    most = math.log(FILTERS) / 2 - (dim - 1) / 2 * math.log(CAP_SINE)
+    return codes if most > math.log(codes) else max(LEAST, int(math.exp(most)))
+
+
 @lru_cache(maxsize=16)
-def _codebooks(dim: int, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A rotation and two codebooks of unit vectors, the same everywhere."""
+def _codebooks(dim: int, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """A rotation, two codebooks of unit vectors and the bar that about FILTERS directions exceed, the same everywhere."""
     rng = np.random.default_rng(dim * 1_000_003 + codes)
     turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     half = max(1, dim // 2)
     a, b = rng.standard_normal((codes, half)), rng.standard_normal((codes, max(1, dim - half)))
-    return turn, a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+    a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = rng.standard_normal((64, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    k = min(codes, FILTERS)  # the best FILTERS sums are of the best so many on either side
+    p, q = -np.sort(-(x[:, :half] @ a.T), axis=1)[:, :k], -np.sort(-(x[:, half:] @ b.T), axis=1)[:, :k]
+    sums = np.sort((p[:, :, None] + q[:, None, :]).reshape(len(x), -1), axis=1)
+    return turn, a, b, float(np.median(sums[:, -min(FILTERS, sums.shape[1])]))
 
 
-def filters_of(unit: np.ndarray, codes: int) -> list[np.ndarray]:
+def filters_of(unit: np.ndarray, codes: int, least: float = 0.98) -> list[np.ndarray]:
     """The ascending filters that take each unit vector."""
+    dim = unit.shape[1]
+    if dim <= FEW:
+        return _cells(unit, least)
+    codes = codes_of(dim, codes)
     rows = max(1, STEP_PRODUCTS // codes)
     return [f for at in range(0, len(unit), rows) for f in _filters(unit[at : at + rows], codes)]
 
 
+def _cells(unit: np.ndarray, least: float) -> list[np.ndarray]:
+    """Numbers of the cells that a link's length reaches from each vector, by the first coordinates."""
+    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    x = unit[:, :CELL_COORDINATES]
+    low, high = (np.floor((x + s * reach) / (2 * reach)).astype(np.int64) for s in (-1, 1))
+    side = int(math.ceil(1.5 / reach)) + 3  # cells in each direction, and room for negative numbers
+    out = np.zeros((len(x), 0), np.int64)
+    parts = []
+    for pick in itertools.product((0, 1), repeat=x.shape[1]):
+        cell = np.where(np.array(pick), high, low) + side // 2 + 1
+        parts.append(cell @ (side**np.arange(x.shape[1])))
+    out = np.stack(parts, axis=1)
+    return [np.unique(r) for r in out]
+
+
 def _filters(unit: np.ndarray, codes: int) -> list[np.ndarray]:
     dim = unit.shape[1]
-    turn, left, right = _codebooks(dim, codes)
+    turn, left, right, bar = _codebooks(dim, codes)
     x = unit @ turn
     half = left.shape[1]
-    p, q = x[:, :half] @ left.T, (x[:, half:] if dim > half else np.zeros((len(x), 1))) @ right.T
-    # An inner product with a codeword has a variance of about |half|^2 / (length of the half); together 2 / dim.
-    bar = math.sqrt(2.0 / dim) * NormalDist().inv_cdf(1 - min(0.4, FILTERS / codes**2))
+    p, q = x[:, :half] @ left.T, x[:, half:] @ right.T
     po, qo = np.argsort(-p, axis=1, kind="stable"), np.argsort(-q, axis=1, kind="stable")
     ps, qs = np.take_along_axis(p, po, 1), np.take_along_axis(q, qo, 1)
     out = []
@@ -80,7 +117,7 @@ def _filters(unit: np.ndarray, codes: int) -> list[np.ndarray]:
     return out
 
 
-def _decode(vectors: DataFrame, codes: int) -> DataFrame:
+def _decode(vectors: DataFrame, codes: int, least: float) -> DataFrame:
     """id, label, weight, dim, x (bytes of doubles of the unit vector), fs (its filters); vectors that can't link are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +135,7 @@ def _decode(vectors: DataFrame, codes: int) -> DataFrame:
                         by_dim.setdefault(len(v), []).append(i)
             for dim, at in by_dim.items():
                 x = np.stack([units[i] for i in at])
-                fs = filters_of(x, codes)
+                fs = filters_of(x, codes, least)
                 take = pa.array(at)
                 yield pa.record_batch(
                     [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array([dim] * len(at), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(fs, pa.list_(pa.int64()))],
@@ -109,15 +146,32 @@ def _decode(vectors: DataFrame, codes: int) -> DataFrame:
     return vectors.select("id", "label", "weight", "v").mapInArrow(run, f"id {s['id'].dataType.simpleString()}, label {s['label'].dataType.simpleString()}, weight long, dim int, x binary, fs array<long>")
 
 
-def _compare(x: np.ndarray, y: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with a cosine of at least ``least``: within x, or between x and y."""
-    c = x @ (x if y is None else y).T
-    i, j = np.nonzero(c >= least - 1e-9)
-    if y is None:
-        i, j = i[i < j], j[i < j]
-    # Decided by one sum for each pair, not by the blocked product.
-    exact = np.einsum("ij,ij->i", x[i], (x if y is None else y)[j])
-    return i[exact >= least], j[exact >= least]
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y have a cosine of at least ``least``."""
+    c = x @ y.T
+    out = c >= least
+    # Close calls are decided by one sum for each pair, not by the blocked product.
+    i, j = np.nonzero(np.abs(c - least) < 1e-9)
+    if len(i):
+        out[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= least
+    return out
+
+
+def _shares_lower(fs: list[np.ndarray], gs: list[np.ndarray], f: int) -> np.ndarray:
+    """Which pairs share a filter below f: they were counted there."""
+    low = [[np.asarray(a, dtype=np.int64) for a in side] for side in (fs, gs)]
+    low = [[a[: np.searchsorted(a, f)] for a in side] for side in low]
+    both = np.intersect1d(*(np.concatenate([np.zeros(0, np.int64), *side]) for side in low))
+    marks = []
+    for side in low:
+        m = np.zeros((len(side), len(both)), dtype=np.float32)
+        row, flat = np.repeat(np.arange(len(side)), [len(a) for a in side]), np.concatenate([np.zeros(0, np.int64), *side])
+        at = np.searchsorted(both, flat)
+        has = at < len(both)
+        has[has] = both[at[has]] == flat[has]
+        m[row[has], at[has]] = 1
+        marks.append(m)
+    return marks[0] @ marks[1].T > 0
 
 
 def _links(lists: DataFrame, least: float) -> DataFrame:
@@ -130,22 +184,22 @@ def _links(lists: DataFrame, least: float) -> DataFrame:
         col = lambda name: t.column(name).to_numpy()
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
         bi, bj, f = t.column("bi")[0].as_py(), t.column("bj")[0].as_py(), t.column("f")[0].as_py()
+        a = np.arange(t.num_rows) if bi == bj else np.flatnonzero(col("block") == bi)
+        b = a if bi == bj else np.flatnonzero(col("block") == bj)
+        linked = _linked(x[a], x[b], least)
         if bi == bj:
-            i, j = _compare(x, None, least)
-        else:
-            a, b = np.flatnonzero(col("block") == bi), np.flatnonzero(col("block") == bj)
-            i, j = _compare(x[a], x[b], least)
-            i, j = a[i], b[j]
-        if not len(i):
+            linked = np.triu(linked, 1)
+        ia, jb = np.nonzero(linked)
+        if not len(ia):
             return None
-        fs = t.column("fs").to_pylist()
-        sets = {k: set(fs[k]) for k in set(i.tolist()) | set(j.tolist())}
-        low = {k: [g for g in fs[k] if g < f] for k in sets}
-        first = np.array([not any(g in sets[q] for g in low[p]) for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+        i, j = a[ia], b[jb]
+        ra, rb = np.unique(ia), np.unique(jb)  # rows that link at all
+        fs = t.column("fs").to_numpy()
+        first = linked[np.ix_(ra, rb)] & ~_shares_lower(list(fs[a[ra]]), list(fs[b[rb]]), f)
         w = col("weight").astype(np.int64)
         links = np.zeros(t.num_rows, dtype=np.int64)
-        np.add.at(links, i[first], w[j[first]])
-        np.add.at(links, j[first], w[i[first]])
+        np.add.at(links, a[ra], first @ w[b[rb]])
+        np.add.at(links, b[rb], first.T @ w[a[ra]])
         root = np.arange(t.num_rows)
         while True:  # the smallest row that each row reaches inside the list
             m = np.minimum(root[i], root[j])
@@ -187,7 +241,7 @@ def dedup_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     # Equal vectors are one class; its number is a hash of all that makes it equal.
     classes = materialize(able.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "caps-classes")
     codes = max(CODES, math.isqrt(4 * classes.count()))
-    decoded = materialize(_decode(classes, codes), "caps-filters")
+    decoded = materialize(_decode(classes, codes, least), "caps-filters")
     entries = decoded.select("id", "label", "dim", F.explode("fs").alias("f"))
     lists = entries.groupBy("label", "dim", "f").agg(F.count("*").alias("size")).where("size > 1").select("label", "dim", "f", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     # Only filters with company are worth a vector's bytes.
@@ -203,4 +257,4 @@ def dedup_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     out = rows.join(told, (rows.label == told.label) & (rows.v == told.v) & rows.id.isNotNull(), "left").drop(told.label, told.v)
     n = F.when(F.col("able"), F.col("links") + F.col("weight") - 1).otherwise(0).cast("long")
     comp = F.when(F.col("able"), F.col("comp")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), n.alias("n_links"), comp.cast("long").alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(key), n.alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))

@@ -71,7 +71,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return cap_dedup.dedup_vectors(table(spark, sf_dir, "embeddings"))
+    return cap_dedup.dedup_vectors(table(spark, sf_dir, "embeddings")).withColumn("component_id", F.col("component_id").cast("long"))
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

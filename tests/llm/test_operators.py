@@ -552,6 +552,26 @@ def test_decoding_skips_unknown_ids(spark):
 # 9: vectors
 
 
+@pytest.mark.parametrize("codes", [256, 1024])
+@pytest.mark.parametrize("dim", [1, 2, 3, 8, 12, 13, 16, 24, 64])
+def test_linked_vectors_share_a_filter(dim, codes):
+    """Pairs at the least cosine, the hardest to catch."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((300, dim))
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = x if dim == 1 else 0.98 * x + math.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    shared = [bool(set(f) & set(g)) for f, g in zip(cap_dedup.filters_of(x, codes), cap_dedup.filters_of(y, codes), strict=True)]
+    assert np.mean(shared) >= (1.0 if dim <= cap_dedup.FEW else 0.93)
+
+
+def test_string_ids_of_vectors(spark):
+    prepare(spark)
+    df = spark.createDataFrame([("b", [1.0, 0.0], 1), ("a", [1.0, 0.01], 1), ("c", [0.0, 1.0], 1)], "vec_id string, embedding array<double>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in cap_dedup.dedup_vectors(df).collect()} == {("b", 1, "a"), ("a", 1, "a"), ("c", 0, "c")}
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_vectors(spark, monkeypatch, block):
     prepare(spark)
