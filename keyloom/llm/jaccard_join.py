@@ -7,11 +7,14 @@ prefix.  The order is by document frequency, so prefixes hold the rarest shingle
 1. Documents with equal sets become one class.
 2. Classes that own enough shingles alone (counted over all documents, on the shingles of a fixed part of the hash range) can
    have no partner and leave.  Frequencies are then counted over all shingles of the rest.
-3. Prefix shingles that at least two documents have become lists.  In a list, documents with the same prefix and size form a
-   group; pairs of groups are filtered by size and by the shingle's position in the prefix; the groups of the pairs left are
-   expanded to members, whose bitmaps bound the overlap from above.  Long lists are cut into blocks, and every pair of
-   blocks is a task's work of its own.
-4. First each list gives a spanning forest of its candidate pairs; they are verified on the whole sets.  Then all candidate
+3. Documents with the same prefix and size are a group, collapsed to its smallest member: every other member is verified
+   against that one, a star.  Then the members that stand for the components of a long list are verified against the list's
+   smallest member.  Groups of near copies are mostly one component after that, at a cost in proportion to their size.
+4. Prefix shingles become lists; those whose documents are all of one component are done.  In a list, pairs of groups are
+   filtered by size and by the shingle's position in the prefix; the groups of the pairs left are expanded to members of
+   different components, whose bitmaps bound the overlap from above.  Lists of more than ``BLOCK`` documents are cut into
+   units, large components into units of their own, and every pair of units of different components is a task's work of its own.
+5. First each list gives a spanning forest of its candidate pairs; they are verified on the whole sets.  Then all candidate
    pairs that are still in different components are verified.  Every link joins documents that end in one component, and no
    large group of copies is expanded into all its pairs.
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -39,8 +42,12 @@ WIDTH, PERCENT = 5, 80
 BITMAP = 8
 #: Members of a list that are compared at once.
 BLOCK = 1024
-#: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Lists of more components than this get a star of their own.
+STAR_COMPONENTS = 32
+#: Rows of classes (an id, a node and two signatures; some 50 bytes) that are broadcast to pick documents at most; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: Pairs of one document that meet its set in one task.
+PAIRS_PER_SALT = 1024
 
 
 def _range_share(percent: int) -> float:
@@ -106,17 +113,17 @@ def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
-    """id, n, t: a row for each hash of each set."""
+    """id, cid, n, t: a row for each hash of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = b.column(2).to_pylist()
+            blobs = b.column(3).to_pylist()
             t = np.frombuffer(b"".join(blobs), dtype=np.int64)
             begin = np.concatenate(([0], np.cumsum([len(x) // 8 for x in blobs]))).astype(np.int32)
-            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(begin), pa.array(t))], names=["id", "n", "t"])
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(begin), pa.array(t))], names=["id", "cid", "n", "t"])
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return sets.select("id", "n", "set").mapInArrow(run, f"id {kind}, n int, t array<long>").select("id", "n", F.explode("t").alias("t"))
+    kind, named = sets.schema["id"].dataType.simpleString(), sets.schema["cid"].dataType.simpleString()
+    return sets.select("id", "cid", "n", "set").mapInArrow(run, f"id {kind}, cid {named}, n int, t array<long>").select("id", "cid", "n", F.explode("t").alias("t"))
 
 
 def least_overlap(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
@@ -217,12 +224,66 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
         return pd.Series(out)
 
-    left = sets.select(F.col("id").alias("a"), F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("cid").alias("cb"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("ca", "cb", "na", "nb", overlap("sa", "sb").alias("i"))
+    pairs = materialize(pairs, "jaccard-pairs")
+    both = _attach(_attach(pairs, sets, "a", "b"), sets, "b", "a").select("ca", "cb", "na", "nb", overlap("sa", "sb").alias("i"))
     return both.where((100 + percent) * F.col("i") >= percent * (F.col("na") + F.col("nb"))).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
+def _attach(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the class, size and set of one side.  The set of a document with many pairs goes to several tasks."""
+    own = sets.select(F.col("id").alias(side), F.col("cid").alias(f"c{side}"), F.col("n").alias(f"n{side}"), F.col("set").alias(f"s{side}"))
+    many = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts")).where("salts > 1")
+    if many.isEmpty():
+        return pairs.join(own, side)
+    salts = F.coalesce("salts", F.lit(1))
+    pairs = pairs.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    own = own.join(many, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return pairs.join(own, [side, "salt"]).drop("salt")
+
+
+def _with_components(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """entries with comp: a hash of the component of each, so far its class if it is in none."""
+    if comps is None:
+        return entries.withColumn("comp", F.xxhash64("cid"))
+    return entries.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.xxhash64(F.coalesce("component", "cid"))).drop("component")
+
+
+def _list_stars(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(a, b): in long lists, the list's smallest document with the smallest one of each other component."""
+    per = _with_components(entries, comps).groupBy("t", "comp").agg(F.min("id").alias("b"))
+    pivots = per.groupBy("t").agg(F.min("b").alias("a"), F.count("*").alias("k")).where(F.col("k") > STAR_COMPONENTS).drop("k")
+    return per.join(pivots, "t").where("a != b").select("a", "b").distinct()
+
+
+def _lists(entries: DataFrame, sets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """t, bi, bj, block, id, cid, n, pos, gid, comp, bits: the documents of each pair of units of each list that has several components."""
+    known = _with_components(entries, comps)
+    per = known.groupBy("t", "comp").agg(F.count("*").alias("c"))
+    lists = materialize(per.groupBy("t").agg(F.sum("c").alias("size"), F.count("*").alias("k")).where("k > 1").select("t", "size"), "jaccard-lists")
+    zero = F.lit(0)
+    placed = known.join(lists.where(F.col("size") <= BLOCK).select("t"), "t").withColumns({"bi": zero, "bj": zero, "block": zero})
+    long = lists.where(F.col("size") > BLOCK)
+    if not long.isEmpty():
+        # Large components have units of their own, the others share units; a row for each unit of long lists only.
+        of = per.join(long.select("t"), "t").withColumn("large", F.col("c") > BLOCK // 2)
+        k = F.ceil(F.col("c") / BLOCK).cast("int")
+        shared = of.where("not large").groupBy("t").agg(F.sum("c").alias("c")).select("t", F.lit(None).cast("long").alias("comp"), k.alias("units"))
+        units = of.where("large").select("t", "comp", k.alias("units")).unionByName(shared)
+        before = Window.partitionBy("t").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+        units = materialize(units.withColumn("start", F.coalesce(F.sum("units").over(before), zero).cast("int")), "jaccard-units")
+        each = units.select("t", "comp", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("units") - 1)).alias("block"))
+        x, y = each.select("t", F.col("comp").alias("x"), F.col("block").alias("bi")), each.select("t", F.col("comp").alias("y"), F.col("block").alias("bj"))
+        pairs = x.join(y, "t").where("bi < bj and (x is null or y is null or x != y) or bi = bj and x is null")
+        pairs = pairs.withColumn("block", F.explode(F.array_distinct(F.array("bi", "bj")))).select("t", "bi", "bj", "block")
+        own = units.where("comp is not null").withColumnsRenamed({"units": "u1", "start": "s1"})
+        rest = units.where("comp is null").select("t", F.col("units").alias("u2"), F.col("start").alias("s2"))
+        at = known.join(long.select("t"), "t").join(own, ["t", "comp"], "left").join(rest, "t", "left")
+        block = F.coalesce("s1", "s2") + F.pmod(F.xxhash64("id"), F.coalesce("u1", "u2")).cast("int")
+        at = at.withColumn("block", block).join(pairs, ["t", "block"])
+        placed = placed.unionByName(at.select(*placed.columns))
+    return placed.join(sets.select("id", "bits"), "id").select("t", "bi", "bj", "block", "id", "cid", "n", "pos", "gid", "comp", "bits")
+
+
 def _prefix_size(n: Column, percent: int) -> Column:
     return n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
 
@@ -259,22 +320,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Prefixes by document frequency; what a class owns alone comes first and matches nothing.
     tokens = _tokens(sets)
     shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    owned = tokens.join(shared, "t").groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    owned = tokens.join(shared, "t").groupBy("id").agg(F.max("n").alias("n"), F.max("cid").alias("cid"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     lonely = F.col("n") - F.size("ts")
-    prefixed = owned.select("id", "n", lonely.alias("u"), F.slice(F.col("ts.t"), F.lit(1), F.greatest(F.lit(0), _prefix_size(F.col("n"), percent) - lonely)).alias("p"))
+    prefixed = owned.select("id", "cid", "n", lonely.alias("u"), F.slice(F.col("ts.t"), F.lit(1), F.greatest(F.lit(0), _prefix_size(F.col("n"), percent) - lonely)).alias("p"))
     prefixed = prefixed.where(F.size("p") > 0).withColumn("gid", F.xxhash64("n", "u", "p"))
-    entries = prefixed.select("id", "n", "u", "gid", F.posexplode("p").alias("i", "t")).select("id", "n", "gid", (F.col("u") + F.col("i")).alias("pos"), "t")
+    entries = prefixed.select("id", "cid", "n", "u", "gid", F.posexplode("p").alias("i", "t")).select("id", "cid", "n", "gid", "i", (F.col("u") + F.col("i")).alias("pos"), "t")
     entries = materialize(entries, "jaccard-prefixes")
-    long = entries.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    lists = entries.join(long, "t").join(sets.select("id", "cid", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = lists.select("t", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "cid", "n", "pos", "gid", "bits")
-
-    links = materialize(_verify(_candidates(lists.withColumn("comp", F.xxhash64("cid")), percent, True), sets, percent), "jaccard-links")
-    first = components(links, "jaccard-first")
-    known = lists.join(first.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.xxhash64(F.coalesce("component", "cid"))).drop("component")
-    more = materialize(_verify(_candidates(known, percent, False), sets, percent), "jaccard-more")
-    edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+
+    # Each group's star, then the stars of long lists.
+    members = entries.where("i = 0").select("id", "gid")
+    groups = members.groupBy("gid").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
+    stars = members.withColumnRenamed("id", "b").join(groups, "gid").where("a != b").select("a", "b")
+    comps = components(materialize(_verify(stars, sets, percent), "jaccard-links"), "jaccard-stars")
+    grow = lambda links, tag: components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(materialize(links, "jaccard-links")), tag)
+    comps = grow(_verify(_list_stars(entries, comps), sets, percent), "jaccard-stars")
+
+    comps = grow(_verify(_candidates(_lists(entries, sets, comps), percent, True), sets, percent), "jaccard-first")
+    more = materialize(_verify(_candidates(_lists(entries, sets, comps), percent, False), sets, percent), "jaccard-more")
+    edges = comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
 
     # Every document has the component of its class; classes without links are components of their own.
     all_classes = meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cid"))
