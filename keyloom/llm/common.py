@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship
 
-#: Rows of text that go to a Python worker at once; keeps a batch of ordinary documents at a few MB.
-ARROW_ROWS = 1000
+#: Rows, and bytes, of texts that go to a Python worker at once; a longer text goes alone.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -21,11 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """For operators with Python functions: sends this package to the workers, and makes Arrow batches small.
-
-    Texts are long rows: the default of 10,000 rows a batch may be gigabytes.
-    """
+    """For operators with Python functions: sends this package to the workers, and bounds Arrow batches in rows and bytes, for the session."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -64,6 +62,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(text, y) of at most ``limit`` labelled documents outside fold 0, chosen by a hash of the id.
 
     The ids chosen are a table of at most ``limit`` rows, so it is broadcast.  Rows with a null key or label are left out.
+    Rows equal in id, text and label count once; if rows that share an id still make more than ``limit``, a hash of id and text
+    chooses among them.
     """
     h = F.xxhash64(F.lit("labelled"), F.col(key))
     ids = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), h.alias("h"))
@@ -71,5 +71,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     if n > limit:
         u = F.shiftrightunsigned(F.col("h"), 11) / float(1 << 53)
         ids = ids.where(u <= 1.2 * limit / n).orderBy("h", "k", "y").limit(limit)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(ids), "k")
-    return materialize(rows.select("text", "y"), "labelled")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "k")
+    rows = materialize(rows.select("text", "y", F.xxhash64("k", "text", "y").alias("h")).dropDuplicates(["h"]), "labelled")
+    return bounded(rows, limit).select("text", "y")
+
+
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """text of at most ``limit`` documents outside fold 0 that have no such label, chosen by a hash of id and text."""
+    told = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k")).distinct()
+    rows = docs.where(F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit("unlabelled"), key, text).alias("h"))
+    n = rows.count()
+    if n > limit:
+        # Twice the share, since labelled ones go; what is over goes by the bound.
+        rows = rows.where(F.shiftrightunsigned(F.col("h"), 11) / float(1 << 53) <= 2.0 * limit / n)
+    rows = materialize(rows.join(told, "k", "left_anti").select("text", "h").dropDuplicates(["h"]), "unlabelled")
+    return bounded(rows, limit).select("text")
+
+
+def bounded(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of the ``limit`` smallest hashes h, which are distinct; only hashes are sorted."""
+    if rows.count() <= limit:
+        return rows
+    last = rows.select("h").orderBy("h").limit(limit).agg(F.max("h").alias("h")).first().h
+    return rows.where(F.col("h") <= last)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,7 +8,7 @@ of them compare exactly, and against a longer one only their hashes below the th
 A fingerprint is text: the hash of all words, ``:``, and the kept hashes in ascending order, joined by ``.``.  Texts with
 the same words have the same fingerprint.  Likeness is 1 for equal word hashes, else the sketches' Jaccard estimate (0
 when both sketches are empty).  A text with fewer than five words is one shingle; null counts as empty and has none, and
-empty texts are alike (1).  Long texts are sketched whole.  Repeated rows: each keeps its own row.  Empty tables give
+empty texts are alike (1).  Keys are numbers, dates or timestamps; others raise, since ranges of them can't be estimated.  Long texts are sketched whole.  Repeated rows: each keeps its own row.  Empty tables give
 empty results.  Only id and text columns are read, so other columns cannot clash.
 """
 
@@ -18,6 +18,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions
 
@@ -102,6 +103,8 @@ def with_next(df: DataFrame, key: str, carried: list[str], tie: str, ranges: int
     spark = df.sparkSession
     n = ranges or RANGES_PER_PARTITION * shuffle_partitions(spark)
     kind = df.schema[key].dataType.simpleString()
+    if not isinstance(df.schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"{key} is {kind}; the order of documents needs a number, a date or a timestamp")
     found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first().q
     bounds = sorted(set(found or []))
     at = _range_of(F.col(key), bounds, kind)

@@ -5,8 +5,8 @@ only), cut into blocks at word ends, and every block is compressed once with eac
 bytes over all blocks wins (ties: the first by code point).  The margin is the saving against the second best, as a share
 of its bytes; ``rejected`` marks margins under ``min_margin`` and texts without letters.
 
-Learning reads a bounded sample: at most about ``SAMPLE_DOCS`` texts of each language, chosen by a hash of the text, and
-``DICT_BYTES`` of dictionary each.  All texts of the sample enter, with equal shares of the dictionary as far as they are
+Learning reads a bounded sample: about ``SAMPLE_DOCS`` distinct texts of each language at most, chosen by a hash of the text, and
+``DICT_BYTES`` of dictionary each; so a language is learned however often its texts are repeated.  All texts of the sample enter, with equal shares of the dictionary as far as they are
 long enough; of longer ones it is a piece at a place chosen by the hash, anywhere in the text.  Scoring reads whole texts of every length.
 
 Null, empty and letterless texts: ``und``, score 0, rejected.  With no learned language every text is ``und``; with one, margins are 1.
@@ -108,16 +108,17 @@ class LanguageModel:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, min_margin: float = MIN_MARGIN) -> LanguageModel:
     """Learns from the rows that ``where`` admits and that have a language and a text."""
     rows = docs.where(F.coalesce(where, F.lit(False))) if where is not None else docs
-    rows = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select(F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    counts = {r.l: r.n for r in rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return LanguageModel({}, min_margin)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n)))])
-    u = F.shiftrightunsigned(F.xxhash64("t"), 11) / float(1 << 53)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("chosen"), "t"), 11) / float(1 << 53)
     # Twice a text's share, since normalising shortens.
     size = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2 * DICT_BYTES // min(SAMPLE_DOCS, n)))]), F.col("l"))
     place = 1 + F.pmod(F.xxhash64(F.lit("place"), "t"), F.greatest(F.lit(1), F.length("t") - size + 1))
-    sample = rows.where(u <= F.element_at(share, F.col("l"))).select("l", F.substr("t", place.cast("int"), size).alias("t"), F.xxhash64("t").alias("h"))
+    sample = rows.where(u <= F.element_at(share, F.col("l"))).select("l", F.substr("t", place.cast("int"), size).alias("t"), "h").dropDuplicates(["l", "h"])
     texts: dict[str, dict[str, int]] = {}
     for r in sample.toLocalIterator():
         if (n := normalise(r.t)):

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: A source of n documents has about sqrt(n) buckets of sqrt(n) documents: neither they nor their totals pile up in a task.
 #: Source tables up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -88,17 +88,28 @@ def mix_sources(
     )
 
 
-def mixed_copies(docs: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_copies(docs: DataFrame, mix: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs as often as the mix takes them, with their own columns; the copy at a source's cut ends after its last token.
 
-    ``mix`` is mix_sources() of the same docs.  Rows equal in key and text share one place in the mix.
+    ``mix`` is mix_sources() of the same docs.  Rows equal in key, text and source stand side by side in the mix, so at most one
+    set of them in each source has the cut inside: only its rows are numbered, all others are taken alike.
     """
-    part = mix.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("epochs").alias("__e"), F.col("cut").alias("__c"), F.col("size").alias("__n"))
-    part = part.where(F.col("__e") * F.col("__n") + F.col("__c") > 0).dropDuplicates(["__k", "__h"])
-    rows = docs.withColumn("__t", F.xxhash64(text)).join(part, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__h")))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__e") + (F.col("__c") > 0).cast("long"))))
+    k, h, s, e, c, n, rows_, full, one, at, copy = (fresh(docs, f"mix_{x}") for x in ("k", "h", "s", "e", "c", "n", "rows", "full", "one", "at", "copy"))
+    cut, size = F.col("cut"), F.col("size")
+    part = mix.groupBy(F.col(key).alias(k), F.col("text_hash").alias(h), F.col(source).alias(s)).agg(
+        F.max("epochs").alias(e), F.min("cut").alias(c), F.max("size").alias(n), F.count("*").alias(rows_), F.sum((cut == size).cast("long")).alias(full), F.max(F.when(cut < size, cut).otherwise(0)).alias(one)
+    )
+    part = part.where((F.col(e) > 0) | (F.col(full) > 0) | (F.col(one) > 0)).where(F.col(n) > 0)
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)) & F.col(source).eqNullSafe(F.col(s))
+    alike = (F.col(full) == F.col(rows_)) | (F.col(full) == 0) & ((F.col(rows_) == 1) | (F.col(one) == 0))
+    order = Window.partitionBy(k, h, s).orderBy(F.xxhash64(*docs.columns))
+    numbered = docs.join(part.where(~alike), same).withColumn(at, F.row_number().over(order).cast("long"))
+    # The first rows have whole cuts, the next one the rest of the budget.
+    own = F.when(F.col(at) <= F.col(full), F.col(n)).when(F.col(at) == F.col(full) + 1, F.col(one)).otherwise(0)
+    rows = docs.join(part.where(alike), same).withColumn(at, F.lit(None).cast("long")).unionByName(numbered.withColumn(c, own))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(e) + (F.col(c) > 0).cast("long"))))
     # Pieces of one token each, with the separators before it.
     pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    last = (F.col("__copy") > F.col("__e")) & (F.col("__c") < F.col("__n"))
-    rows = rows.withColumn(text, F.when(last, F.concat_ws("", F.slice(pieces, F.lit(1), F.col("__c").cast("int")))).otherwise(F.col(text)))
+    last = (F.col(copy) > F.col(e)) & (F.col(c) < F.col(n))
+    rows = rows.where((F.col(e) > 0) | (F.col(c) > 0)).withColumn(text, F.when(last, F.concat_ws("", F.slice(pieces, F.lit(1), F.col(c).cast("int")))).otherwise(F.col(text)))
     return rows.select(*docs.columns)

@@ -6,7 +6,7 @@ neighbouring labels.  The forward-backward algorithm gives each line's probabili
 weighted by line length, is the document's quality.
 
 Training: lines take their document's label; gradient ascent on the likelihood (Adam) over the lines of at most
-``FIT_DOCS`` labelled documents, chosen by a hash of the id.  Scoring reads whole texts, whatever their length.
+``FIT_DOCS`` labelled documents, chosen by a hash of the id, of longer ones ``FIT_LINES`` lines in a row, at a place chosen by the text.  Scoring reads whole texts, whatever their length.
 
 Null and empty texts, and texts without a word, have no lines: their score is the share of good documents in training.
 Without labelled rows every score is 1 and nothing is rejected.  Repeated rows get equal scores; empty tables give empty
@@ -29,6 +29,7 @@ from . import wordhash
 from .common import labelled_sample
 
 FIT_DOCS = 6_000
+FIT_LINES = 1_000
 STEPS = 150
 THRESHOLD = 0.3
 
@@ -181,14 +182,16 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, rid
     return params[:-4], params[-4:].reshape(2, 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, key: str = "doc_id", text: str = "text", label: str = "quality", lines: int = FIT_LINES) -> QualityModel:
     sample = labelled_sample(docs, labels, label, limit, key, text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, part in wordhash.steps(b.column(0)):
                 x, _, first = line_features(part)
-                blobs = [x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+                size = np.diff(first)
+                start = first[:-1] + np.array([zlib.crc32(x[i : i + 1].tobytes()) for i in first[:-1]], dtype=np.int64) % np.maximum(size - lines + 1, 1)
+                blobs = [x[i : i + min(n, lines)].astype(np.float32).tobytes() for i, n in zip(start, size, strict=True)]
                 yield pa.record_batch([pa.array(blobs, pa.binary()), b.column(1).slice(at, len(part))], names=["x", "y"])
 
     rows = sample.mapInArrow(features, "x binary, y int").toPandas()

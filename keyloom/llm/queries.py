@@ -18,7 +18,7 @@ URL_RULES = [
     url_filter.GlobRule(".+spam-farm*", "block"),
     url_filter.GlobRule(".+cheap-pills*", "block"),
     url_filter.GlobRule(".+casino*", "block"),
-    url_filter.GlobRule("*.exe", "block"),
+    url_filter.GlobRule("*/*.exe", "block"),
     url_filter.GlobRule("*/login/*", "block"),
 ]
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe_codec, cap_dedup, chunks, class_lm, fingerprint, jaccard_join, language_id, mixing, quality, queries, toxicity, url_filter, wordhash
+from keyloom.llm import bpe_codec, cap_dedup, chunks, class_lm, common, fingerprint, jaccard_join, language_id, mixing, quality, queries, toxicity, url_filter, wordhash
 from keyloom.llm.common import fold, prepare
 from keyloom.llm.components import components
 
@@ -105,14 +105,15 @@ def test_automaton_matches_globs():
 def test_url_rules(spark):
     prepare(spark)
     urls = [None, "", "no-scheme.com/", "http://EXAMPLE.com/en/1?q", "https://www.example.com/en/", "ftp://x.net/es/a#b", "http://net/fr/", "http://xnet/fr/", "http://com", "http://com/",
-            "http://notcom/", "http://a.org/x", "http://spam-farm.org/x.com/", "http://www.example.com/de/", "http://h?://x.com/", "http://m.net/" + "y" * 50_000, "://x.com/"]
+            "http://notcom/", "http://a.org/x", "http://spam-farm.org/x.com/", "http://www.example.com/de/", "http://h?://x.com/", "http://m.net/" + "y" * 50_000, "://x.com/", "http://foo.exe"]
     df = spark.createDataFrame([(i, u, "v", "h") for i, u in enumerate([*urls, urls[3]])], "page_id long, url string, verdict string, host string")
     got = {r.page_id: (r.host, r.path[:9], r.rule, r.verdict) for r in url_filter.judge_urls(df, queries.URL_RULES).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
-    assert got[3] == got[17] == ("example.com", "/en/1", "example.com/en/", "block")
+    assert got[3] == got[18] == ("example.com", "/en/1", "example.com/en/", "block")
     assert got[4][2:] == ("www.example.com/en/", "allow") and got[5] == ("x.net", "/es/a", "net/es/", "block") and got[6][2] == "net/fr/"
     assert got[7][2] is None and got[8] == ("com", "", None, "allow") and got[9][2] == "com/" and got[10][2] is None and got[11][2:] == (None, "allow")
     assert got[12][2:] == (None, "block") and got[13][2] == "com/" and got[14][:2] == ("h", "") and got[15][2] is None and got[16][2] == "com/"
+    assert got[17][2:] == (None, "allow")  # a host is no file
     assert url_filter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
@@ -157,6 +158,30 @@ def test_classifiers_on_held_out_rows(spark, module, column):
     assert module.score(docs.limit(0), model).count() == 0
 
 
+def test_labelled_sample_is_bounded_in_rows(spark):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"t{i} v{j % 3}") for i in ids for j in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, y int")
+    got = common.labelled_sample(docs, labels, "y", 100).collect()
+    assert len(got) == 100 == len({r.text for r in got})
+    assert common.labelled_sample(docs, labels, "y", 10**6).count() == 3 * len(ids)
+    rest = common.unlabelled_sample(docs, labels.where("doc_id < 500"), "y", 50).collect()
+    assert 0 < len(rest) <= 50 and all(int(r.text[1:].split()[0]) >= 500 for r in rest)
+
+
+def test_label_model_estimates_voters():
+    """Votes of known accuracy, two of them one voter twice, and labels of which a tenth is wrong."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(8000) < 0.2
+    says = lambda hit, miss: np.where(rng.random(8000) < np.where(truth, hit, miss), 1, 0)
+    votes = np.column_stack([v := says(0.8, 0.02), v, says(0.6, 0.05), says(0.7, 0.01), says(0.1, 0.1)]).astype(np.int8)
+    label = np.where(rng.random(8000) < 0.5, np.where(truth ^ (rng.random(8000) < 0.1), 1, -1), 0)
+    post, p, right = toxicity.label_model(votes, label)
+    assert np.allclose(p[1, 2], [0.8, 0.8, 0.6, 0.7, 0.1], atol=0.06) and np.allclose(p[0, 2], [0.02, 0.02, 0.05, 0.01, 0.1], atol=0.03)
+    assert abs(right[1] - 0.9) < 0.05 and abs(right[0] - 0.1) < 0.03
+    assert np.mean((post > 0.5) == truth) > 0.95
+
+
 def test_forward_backward_is_brute_force():
     rng = np.random.default_rng(0)
     sizes = [0, 1, 4, 3, 0, 6]
@@ -209,6 +234,11 @@ def test_near_copies_of_short_texts_compare_exactly(spark):
         assert r.j == pytest.approx((r.n - 4) / (r.n - 3)) and r.held == 1.0 and r.in_long in (None, 1.0) and not r.all
 
 
+def test_string_keys_are_refused_in_words(spark):
+    with pytest.raises(TypeError, match="needs a number"):
+        fingerprint.fingerprint_pairs(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_sketches_estimate_and_merge(spark):
     import xxhash
 
@@ -268,6 +298,26 @@ def test_mixed_copies_hold_what_the_mix_takes(docs):
     assert got == Counter({r.doc_id: r.taken for r in mix.collect() if r.taken})
 
 
+@pytest.mark.parametrize("seed", ["mix-1:", "other:", "third:"])
+def test_mixed_copies_of_repeated_rows(spark, seed):
+    """Equal ids and texts in two sources, rows repeated in one, null ids and columns with names of the operator's own."""
+    text = "one two three"
+    rows = [(1, text, "a", 1), (1, text, "b", 2), (2, text, "a", 3), (2, text, "a", 4), (2, text, "a", 5), (None, text, "b", 6), (None, text, "b", 6), (None, "x y", None, 7), (3, None, "b", 8), (4, "", "a", 9), (5, "w " * 40, "b", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __t long").withColumns({"cut": F.lit("c"), "mix_k": F.lit("k"), "size": F.lit(-1)})
+    mix = mixing.mix_sources(docs, seed=seed)
+    out = mixing.mixed_copies(docs, mix)
+    assert out.columns == docs.columns
+    rows_of = out.collect()
+    got = Counter()
+    for r in rows_of:
+        got[r.doc_id, r.source] += len(WORDS.findall(r.text or ""))
+    want = Counter()
+    for r in mix.collect():
+        want[r.doc_id, r.source] += r.taken
+    assert +got == +want
+    assert {(r.doc_id, r.source, r["__t"]) for r in rows_of} <= {(a, c, d) for a, _, c, d in rows} and all(r.cut == "c" and r.size == -1 for r in rows_of)
+
+
 # 5: language ID
 
 
@@ -300,6 +350,30 @@ def test_language_is_learned_from_whole_texts(spark):
     assert [model.predict(w)[0] for w in words.values()] == list(words)
 
 
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    prepare(spark)
+    rows = [("ein Haus am Fluss und viele Worte darin " * 3, "xx")] * 3000 + [(f"some other words number {i} " * 3, "yy") for i in range(50)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(df)
+    assert set(model.dictionaries) == {"xx", "yy"} and len(model.dictionaries["xx"]) < 500
+    assert model.predict("viele Worte am Fluss")[0] == "xx" and model.predict("number words")[0] == "yy"
+
+
+def test_language_sizes_by_brute_force(spark, docs):
+    """The smallest sum of compressed blocks wins."""
+    import zstandard
+
+    prepare(spark)
+    rows = [(f"alpha beta gamma {i} delta " * 5, "a") for i in range(30)] + [(f"eins zwei drei {i} vier " * 5, "b") for i in range(30)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    for t in ("alpha gamma zwei delta beta alpha " * 120, "drei vier " * 900 + "alpha"):
+        sizes = {}
+        for k, d in model.dictionaries.items():
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[k] = sum(len(c.compress(b.encode())) for b in language_id.blocks(language_id.normalise(t)))
+        assert model.predict(t)[0] == min(sizes, key=lambda k: (sizes[k], k))
+
+
 # 6: Jaccard join
 
 
