@@ -1,15 +1,18 @@
 """Operators against brute force on small tables with nulls, empty and long texts, repeated rows and clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe_codec, cap_dedup, chunks, class_lm, common, fingerprint, jaccard_join, language_id, mixing, quality, queries, toxicity, url_filter, wordhash
@@ -234,6 +237,31 @@ def test_near_copies_of_short_texts_compare_exactly(spark):
         assert r.j == pytest.approx((r.n - 4) / (r.n - 3)) and r.held == 1.0 and r.in_long in (None, 1.0) and not r.all
 
 
+def brute_sketch(text):
+    """(hash of all words, kept hashes, whether all are kept)."""
+    hashed = lambda parts: functools.reduce(lambda seed, b: xxhash.xxh64_intdigest(b, seed), parts, 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [signed(hashed([w.encode()])) for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    packed = [struct.pack("<q", h) for h in words]
+    shingles = [signed(hashed(packed[i : i + 5])) for i in range(len(words) - 4)] if len(words) >= 5 else [signed(hashed(packed))] if words else []
+    every = len(words) - 4 <= fingerprint.ALL
+    return signed(hashed(packed)), {x for x in shingles if every or x < -(1 << 63) + (1 << 64) // fingerprint.SCALE}, every
+
+
+def test_likeness_by_brute_force(docs):
+    low = -(1 << 63) + (1 << 64) // fingerprint.SCALE
+    rows = sorted(texts_of(docs.dropDuplicates(["doc_id"])), reverse=True)
+    got = {r.doc_id: r for r in fingerprint.fingerprint_pairs(docs.dropDuplicates(["doc_id"])).collect()}
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        for other, value in ((t[: len(t) - half] + after[:half], got[i].near_edited), (after, got[i].near_next)):
+            (wa, a, all_a), (wb, b, all_b) = brute_sketch(t), brute_sketch(other)
+            a, b = {x for x in a if all_b or x < low}, {x for x in b if all_a or x < low}
+            want = 1.0 if wa == wb else len(a & b) / len(a | b) if a | b else 0.0
+            assert value == pytest.approx(want), i
+
+
 def test_string_keys_are_refused_in_words(spark):
     with pytest.raises(TypeError, match="needs a number"):
         fingerprint.fingerprint_pairs(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
