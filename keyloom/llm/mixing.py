@@ -16,7 +16,6 @@ results.  Only the key, text and source columns are read; other columns are not
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 
 #: A source of n documents has about sqrt(n) buckets of sqrt(n) documents: neither they nor their totals pile up in a task.
-#: Source tables up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Source tables up to so many bytes are broadcast; larger ones are joined by shuffle, in which Spark splits a source of many rows.
+BROADCAST_BYTES = 16 << 20
 
 
 def token_count(text: Column) -> Column:
@@ -36,21 +35,44 @@ def token_count(text: Column) -> Column:
     return F.when(text.isNull() | (F.length(text) == 0), 0).otherwise(pieces).cast("long")
 
 
-def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3) -> list[tuple[str | None, int, float]]:
-    """(source, its tokens, its target), by source.  Sources reach their cap in the order of cap per weight."""
-    ordered = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    rows = [(src, size, weights[i % len(weights)], i) for i, (src, size) in enumerate(ordered)]
-    total, weight = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    out, capped = [(0.0)] * len(rows), 0
-    level = 0.0
-    for src, size, w, i in sorted(rows, key=lambda r: (max_epochs * r[1] / r[2], r[3])):
-        level = (total - capped) / weight
-        if w * level > max_epochs * size:
-            out[i] = float(max_epochs * size)
-            capped, weight = capped + max_epochs * size, weight - w
-        else:
-            break
-    return [(src, size, out[i] if out[i] else (0.0 if not size else min(w * level, float(max_epochs * size)))) for src, size, w, i in rows]
+def _running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column], tag: str) -> DataFrame:
+    """rows, written in a total order, with for each name the sum of its column over all rows before.
+
+    Rows are dealt out by range and sorted within their range; only a total for each range comes to the driver.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, tag).withColumn("_range", F.shiftright("_at", 33))
+    total = [F.sum(c).alias(name) for name, c in sums.items()]
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.agg(*total).schema}
+    starts, now = [], [0] * len(sums)
+    for r in dealt.groupBy("_range").agg(*total).orderBy("_range").toLocalIterator():
+        starts.append((r._range, *now))
+        now = [a + r[name] for a, name in zip(now, sums, strict=True)]
+    table = spark.createDataFrame([(i, *(float(x) if kinds[n] == "double" else x for n, x in zip(sums, row, strict=True))) for i, *row in starts], ", ".join(["_range long", *[f"_{n} {kinds[n]}" for n in sums]]))
+    before = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(table), "_range").withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
+    return out.drop("_range", "_at", *[f"_{n}" for n in sums])
+
+
+def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """sizes (src, source_size, n) with sid, the source's place among all, and target.
+
+    Sources reach their cap in the order of cap per weight, so one total order of them tells at which level of tokens per weight the
+    others stop.  Only that level and totals come to the driver, whatever the number of sources.
+    """
+    cap = F.col("source_size") * max_epochs
+    ranked = _running(sizes, [F.asc_nulls_last("src")], {"sid": F.lit(1)}, "mix-sources")
+    ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
+    filled = _running(ranked.withColumn("ratio", cap / F.col("w")), [F.col("ratio"), F.col("sid")], {"capped": cap, "used": F.col("w")}, "mix-levels")
+    total = filled.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    level = (F.lit(total.size or 0) - F.col("capped")) / (F.lit(total.w or 1.0) - F.col("used"))
+    stop = filled.where(F.col("w") * level <= cap).agg(F.min(F.struct("ratio", "sid", level.alias("level"))).alias("s")).first().s
+    target = cap.cast("double")
+    if stop is not None:
+        below = (F.col("ratio") < stop.ratio) | (F.col("ratio") == stop.ratio) & (F.col("sid") < stop.sid)
+        target = F.when(below, target).otherwise(F.least(F.col("w") * stop.level, target))
+    return filled.select("sid", "src", "source_size", "n", target.alias("target"))
 
 
 def _hash_key(key: Column, seed: str) -> Column:
@@ -62,15 +84,12 @@ def mix_sources(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1:"
 ) -> DataFrame:
     """key, source, size, source_size, target, taken (tokens that the mix takes), epochs (whole copies), cut (tokens of one more)."""
-    spark = docs.sparkSession
     t, k = F.col(text), F.col(key)
     sized = materialize(docs.select(k.alias("k"), F.col(source).alias("src"), token_count(t).alias("size"), _hash_key(k, seed).alias("h"), F.xxhash64(t).alias("th")), "mix-sizes")
-    per = [(r.src, int(r.s or 0), r.n) for r in sized.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).toLocalIterator()]
-    goal = {src: (size, target) for src, size, target in targets([(s, z) for s, z, _ in per], weights, max_epochs)}
-    table = spark.createDataFrame(
-        [(i, s, z, goal[s][1], math.isqrt(n) + 1) for i, (s, z, n) in enumerate(per)], "sid long, src2 string, source_size long, target double, buckets long"
-    )
-    if len(per) <= BROADCAST_SOURCES:
+    per = materialize(sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-totals")
+    table = targets(per, weights, max_epochs).select("sid", F.col("src").alias("src2"), "source_size", "target", (F.floor(F.sqrt("n")) + 1).alias("buckets"))
+    # 64 bytes and the name for each source.
+    if (per.agg(F.sum(F.coalesce(F.octet_length("src"), F.lit(0)) + 64).alias("b")).first().b or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     rows = sized.join(table, F.col("src").eqNullSafe(F.col("src2"))).drop("src2")
     rows = rows.withColumn("bucket", F.least(F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("buckets")), F.col("buckets") - 1))

@@ -309,10 +309,39 @@ def test_mix(docs, none):
     assert sorted(map(key, rows)) == sorted(map(key, again)) and mixing.mix_sources(none).count() == 0
 
 
-def test_targets_share_what_caps_free():
-    got = mixing.targets([("b", 100), ("a", 1000), (None, 10), ("c", 0)])
-    assert [g[0] for g in got] == ["a", "b", "c", None] and [g[1] for g in got] == [1000, 100, 0, 10]
-    assert got[1][2] == 300.0 and got[2][2] == 0.0 and got[3][2] == 30.0 and got[0][2] == pytest.approx(1110 - 330)
+def filled(sizes, weights, most):
+    """Targets by brute force: share by weight, fix the sources above their cap, and share what is left again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, free = {}, set(names)
+    while free:
+        level = (sum(sizes.values()) - sum(out.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > most * sizes[s]}
+        out |= {s: float(most * sizes[s]) for s in over} if over else {s: weight[s] * level for s in free}
+        free = free - over if over else set()
+    return out
+
+
+@pytest.mark.parametrize("case", ["few", "many", "equal", "no words", "none"])
+def test_targets_share_what_caps_free(spark, case):
+    rng = random.Random(6)
+    sizes = {
+        "few": {"b": 100, "a": 1000, None: 10, "c": 0}, "many": {f"s{i}\u00e9\U0001f600"[: rng.randint(2, 9)] + str(i): int(10 ** rng.uniform(0, 7)) for i in range(500)} | {None: 5, "": 7},
+        "equal": {f"s{i}": 10 for i in range(20)}, "no words": {"a": 0, None: 0}, "none": {},
+    }[case]
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "src string, source_size long, n long").repartition(3)
+    for weights, most in (((1, 2, 3), 3), ((5.0, 1.0), 2)):
+        rows, want = mixing.targets(df, weights, most).collect(), filled(sizes, weights, most)
+        assert sorted(r.sid for r in rows) == list(range(len(sizes)))
+        assert [r.src for r in sorted(rows, key=lambda r: r.sid)] == sorted(sizes, key=lambda s: (s is None, s or ""))
+        assert {r.src: r.target for r in rows} == pytest.approx(want) and all(r.source_size == sizes[r.src] for r in rows)
+
+
+def test_mix_with_sources_too_many_to_broadcast(docs, monkeypatch):
+    key = lambda r: (r.doc_id, r.taken, r.source or "", r.target)
+    rows = sorted(map(key, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted(map(key, mixing.mix_sources(docs).collect())) == rows
 
 
 def test_mixed_copies_hold_what_the_mix_takes(docs):
