@@ -35,8 +35,8 @@ def token_count(text: Column) -> Column:
     return F.when(text.isNull() | (F.length(text) == 0), 0).otherwise(pieces).cast("long")
 
 
-def _running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column], tag: str) -> DataFrame:
-    """rows, written in a total order, with for each name the sum of its column over all rows before.
+def _running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column], tag: str) -> tuple[DataFrame, dict]:
+    """rows, written in a total order, with for each name the sum of its column over all rows before; and the sums over all rows.
 
     Rows are dealt out by range and sorted within their range; only a total for each range comes to the driver.
     """
@@ -44,15 +44,16 @@ def _running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column],
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     dealt = materialize(dealt, tag).withColumn("_range", F.shiftright("_at", 33))
     total = [F.sum(c).alias(name) for name, c in sums.items()]
-    kinds = {f.name: f.dataType.simpleString() for f in dealt.agg(*total).schema}
-    starts, now = [], [0] * len(sums)
-    for r in dealt.groupBy("_range").agg(*total).orderBy("_range").toLocalIterator():
-        starts.append((r._range, *now))
-        now = [a + r[name] for a, name in zip(now, sums, strict=True)]
-    table = spark.createDataFrame([(i, *(float(x) if kinds[n] == "double" else x for n, x in zip(sums, row, strict=True))) for i, *row in starts], ", ".join(["_range long", *[f"_{n} {kinds[n]}" for n in sums]]))
+    ranges = dealt.groupBy("_range").agg(*total)
+    kinds = {n: ranges.schema[n].dataType.simpleString() for n in sums}
+    starts, now = [], {n: 0.0 if kinds[n] == "double" else 0 for n in sums}
+    for r in sorted(ranges.collect(), key=lambda r: r._range):
+        starts.append((r._range, *now.values()))
+        now = {n: x + r[n] for n, x in now.items()}
+    table = spark.createDataFrame(starts, ", ".join(["_range long", *[f"_{n} {kinds[n]}" for n in sums]]))
     before = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     out = dealt.join(F.broadcast(table), "_range").withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
-    return out.drop("_range", "_at", *[f"_{n}" for n in sums])
+    return out.drop("_range", "_at", *[f"_{n}" for n in sums]), now
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -62,11 +63,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs:
     others stop.  Only that level and totals come to the driver, whatever the number of sources.
     """
     cap = F.col("source_size") * max_epochs
-    ranked = _running(sizes, [F.asc_nulls_last("src")], {"sid": F.lit(1)}, "mix-sources")
+    ranked, size = _running(sizes, [F.asc_nulls_last("src")], {"sid": F.lit(1), "before": F.col("source_size")}, "mix-sources")
     ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
-    filled = _running(ranked.withColumn("ratio", cap / F.col("w")), [F.col("ratio"), F.col("sid")], {"capped": cap, "used": F.col("w")}, "mix-levels")
-    total = filled.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
-    level = (F.lit(total.size or 0) - F.col("capped")) / (F.lit(total.w or 1.0) - F.col("used"))
+    filled, total = _running(ranked.withColumn("ratio", cap / F.col("w")), [F.col("ratio"), F.col("sid")], {"capped": cap, "used": F.col("w")}, "mix-levels")
+    level = (F.lit(size["before"]) - F.col("capped")) / (F.lit(total["used"]) - F.col("used"))
     stop = filled.where(F.col("w") * level <= cap).agg(F.min(F.struct("ratio", "sid", level.alias("level"))).alias("s")).first().s
     target = cap.cast("double")
     if stop is not None:
