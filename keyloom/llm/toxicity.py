@@ -120,7 +120,7 @@ class ToxicityModel:
                 out[i] = count >= self.lexicon[i][2]
         if text:
             places = np.unique(ends)
-            upper = sum(c.isupper() for c in text) if any(c.isupper() for c in text[:200]) else 0
+            upper = sum(text.count(c) for c in set(text) if c.isupper())
             out[n:] = [
                 -1 if not ends else 0, directed, len(places) > 2 and bool((places[2:] - places[:-2] < 3 * _NEAR).any()), len(ends) * 400 > len(text) and bool(ends),
                 _MASKED.search(text) is not None, _BANGS.search(text) is not None, upper * 2 > len(text),

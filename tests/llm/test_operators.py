@@ -172,6 +172,20 @@ def test_labelled_sample_is_bounded_in_rows(spark):
     assert 0 < len(rest) <= 50 and all(int(r.text[1:].split()[0]) >= 500 for r in rest)
 
 
+def test_votes_and_samples_are_of_whole_texts(spark):
+    """What tells stands behind a beginning without any capital, as long as one step of texts."""
+    quiet = "quiet words " * 20
+    model = toxicity.ToxicityModel([("vilefoo", True, 1)])
+    loud = dict(zip(toxicity.PATTERNS, model.votes(quiet + "LOUD ÉÀ " * 100)[1:], strict=True))
+    assert loud["shouted"] == 1 and model.votes(quiet + "LOUD ")[-1] == 0 == model.votes(quiet.upper() + 10 * quiet)[-1]
+    whole = quiet * 5000 + "you vilefoo!! v*le"
+    assert model.votes(whole)[0] == 1
+    docs = spark.createDataFrame([(i, f"{whole} {i}") for i in range(20)], "doc_id long, text string")
+    kept = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5]
+    rest = common.unlabelled_sample(docs, docs.select("doc_id", F.lit(1).alias("y")).where("doc_id < 10"), "y", 50).collect()
+    assert sorted(r.text for r in rest) == sorted(f"{whole} {i}" for i in kept if i >= 10)
+
+
 def test_label_model_estimates_voters():
     """Votes of known accuracy, two of them one voter twice, and labels of which a tenth is wrong."""
     rng = np.random.default_rng(4)
