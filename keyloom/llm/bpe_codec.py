@@ -64,7 +64,7 @@ class Splitter:
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
-        self.normaliser = Tokenizer.from_str(spec).normalizer
+        self.normaliser = Tokenizer.from_str(json.dumps(parsed | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None})).normalizer
         pattern = next(p for p in parsed["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         # \s of the file's regex dialect is Unicode's White_Space.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
@@ -148,9 +148,15 @@ class Splitter:
         return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)), sizes
 
 
-def _number(steps: list[pa.Array], flags: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], Callable]:
+def _coded(texts: pa.Array, splitter: Splitter) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """A step's words as numbers of its distinct ones: four bytes for each word while a chunk is gathered."""
+    words, sizes = splitter(texts)
+    return words.dictionary_encode(), sizes
+
+
+def _number(steps: list[pa.DictionaryArray], flags: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], Callable]:
     """The distinct words of a chunk by hash, and each word's number among them."""
-    coded = pa.concat_arrays(steps).dictionary_encode()
+    coded = pa.concat_arrays([s.dictionary for s in steps]).dictionary_encode()
     words = coded.dictionary
     at = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
     h = wordhash.of_slices(np.frombuffer(words.buffers()[2], dtype=np.uint8), at[:-1], at[1:]) if len(words) else np.zeros(0, np.uint64)
@@ -164,7 +170,8 @@ def _number(steps: list[pa.Array], flags: np.ndarray, buckets: int) -> tuple[np.
     def blobs(i: int, j: int) -> tuple[bytes, bytes]:
         return chunks.pack(np.diff(at[i : j + 1])), chunks.squeeze(memoryview(data)[at[i] : at[j]])
 
-    return rank[coded.indices.to_numpy()], chunks.bucket_edges(h[order], buckets), blobs
+    own = np.split(rank[coded.indices.to_numpy()], np.cumsum([len(s.dictionary) for s in steps])[:-1])
+    return np.concatenate([r[s.indices.to_numpy()] for r, s in zip(own, steps, strict=True)]), chunks.bucket_edges(h[order], buckets), blobs
 
 
 class Encoder:
@@ -232,19 +239,19 @@ def _encode(df: DataFrame, vocabulary: str, key: str, text: str, schema: str, ma
     spec = df.sparkSession.sparkContext.broadcast(vocabulary)  # one file of a few MB, whatever the data
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.lit(False).alias("flag"), F.col(text).cast("string").alias("text"))
-    dealt = chunks.deal(rows, lambda texts: _splitter(spec.value)(texts), _number, chunks.buckets_of(df))
+    dealt = chunks.deal(rows, lambda texts: _coded(texts, _splitter(spec.value)), _number, chunks.buckets_of(df))
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for b in batches:
-            for place, bucket, lens, body, chunk in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
-                if place < 0:
-                    encoder = encoder or Encoder(spec.value)
-                    data = chunks.expand(body)
-                    offsets = _ends(chunks.unpack(lens))
-                    ids = encoder(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)).to_pylist())
-                    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                    yield pa.record_batch([pa.array([chunks.chunk_of(chunk)]), pa.array([bucket], pa.int32()), *(pa.array([chunks.pack(x)], pa.binary()) for x in (counts, np.frombuffer(b"".join(ids), "<i4")))], names=["place", "bucket", "counts", "ids"])
+            b = b.filter(pc.less(b.column(0), 0))  # rows of texts are not made Python objects
+            for bucket, lens, body, chunk in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+                encoder = encoder or Encoder(spec.value)
+                data = chunks.expand(body)
+                offsets = _ends(chunks.unpack(lens))
+                ids = encoder(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)).to_pylist())
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                yield pa.record_batch([pa.array([chunks.chunk_of(chunk)]), pa.array([bucket], pa.int32()), *(pa.array([chunks.pack(x)], pa.binary()) for x in (counts, np.frombuffer(b"".join(ids), "<i4")))], names=["place", "bucket", "counts", "ids"])
 
     answers = dealt.mapInArrow(encode_words, "place long, bucket int, counts binary, ids binary")
 

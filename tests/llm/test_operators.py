@@ -686,6 +686,26 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     assert "MapInArrow" in plan and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_words_of_a_chunk_take_little_memory():
+    """While a chunk is gathered, a word takes four bytes besides its step's distinct words, and numbering makes no copy of the words."""
+    spec = queries.vocabulary()
+    split = bpe_codec.Splitter(spec)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"], k=100_000)) for _ in range(8)] + [None, "", "it's 12 \u00e9\u0301!"]
+    pool = pa.default_memory_pool()
+    before = pool.bytes_allocated()
+    steps, sizes = zip(*(bpe_codec._coded(pa.array([t], pa.string()), split) for t in texts), strict=True)
+    n = sum(int(s.sum()) for s in sizes)
+    assert n > 800_000 and pool.bytes_allocated() - before < 5 * n
+    numbers, edges, blobs = bpe_codec._number(list(steps), np.zeros(n, np.uint8), 7)
+    words: list[str] = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        lens, body = blobs(i, j)
+        ends = bpe_codec._ends(chunks.unpack(lens))
+        words += [chunks.expand(body)[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert len(set(words)) == len(words) == edges[-1] and [words[i] for i in numbers] == [w for t in texts for w in split.one(t or "")]
+
+
 def test_decoding_skips_unknown_ids(spark):
     prepare(spark)
     spec = queries.vocabulary()
